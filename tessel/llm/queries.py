@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import lm
+from tessel.llm import cnn, lm, rules, sharding
 from tessel.llm.shared import remainder, table
 
 
@@ -16,5 +16,24 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, ["doc_id", "held_out"])
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), ["doc_id"]).drop("rejected_by")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
+    p = cnn.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return cnn.scored(docs, p, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op7_sharding": op7_sharding,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
+}
 ORACLES: dict[str, str] = {}
