@@ -134,6 +134,14 @@ def start(classes: int, prior: np.ndarray, s: Settings) -> dict[str, np.ndarray]
     }
 
 
+def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, with repeated places summed."""
+    order = np.argsort(at, kind="stable")
+    sorted_at = at[order]
+    first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
+    to[sorted_at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def nce_step(p: dict, g2: dict, a: np.ndarray, at: np.ndarray, prior: np.ndarray, noise: np.ndarray, s: Settings) -> None:
     """One Adagrad step of noise-contrastive estimation on the tokens at the given positions."""
     target = a[at]
@@ -148,19 +156,13 @@ def nce_step(p: dict, g2: dict, a: np.ndarray, at: np.ndarray, prior: np.ndarray
     n = len(at)
     dq = g_own[:, None] * p["Q"][target] + g_other @ p["Q"][noise]
     d = {k: np.zeros_like(v) for k, v in p.items()}
-    hot = np.zeros((n, len(p["b"])), np.float32)
-    row = np.arange(n)
-    hot[row, target] = g_own
-    d["Q"] += hot.T @ q
-    d["b"] += hot.sum(0)
-    np.add.at(d["Q"], noise, g_other.T @ q)
+    add_rows(d["Q"], target, g_own[:, None] * q)
+    d["b"] += np.bincount(target, g_own, len(d["b"])).astype(np.float32)
+    add_rows(d["Q"], noise, g_other.T @ q)
     np.add.at(d["b"], noise, g_other.sum(0))
-    hot[row, target] = 0
     for i in range(s.context):
-        d["C"][i] = (dq * rows[i]).sum(0)
-        hot[row, ctx[i]] = 1
-        d["R"] += hot.T @ (dq * p["C"][i])
-        hot[row, ctx[i]] = 0
+        d["C"][i] = np.einsum("ij,ij->j", dq, rows[i])
+        add_rows(d["R"], ctx[i], dq * p["C"][i])
     for k in p:
         grad = d[k] / np.float32(n)
         g2[k] += grad * grad
