@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def in_slices(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterable[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of the given binary column each, one row at least."""
-    sizes = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
