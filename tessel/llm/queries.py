@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, cnn, lm, packing, rules, sharding, warc
+from tessel.llm import ann, cnn, lm, packing, pii, rules, sharding, warc
 from tessel.llm.shared import remainder, table
 
 
@@ -17,6 +17,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, ["doc_id", "held_out"])
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.found(docs, pii.fit(docs), ["doc_id"])
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -45,6 +50,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_personal_data": op2_personal_data,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op6_nearest_neighbours": op6_nearest_neighbours,
