@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, cnn, lm, packing, pii, rules, sharding, warc
+from tessel.llm import ann, cnn, jaccard, lm, packing, pii, rules, sharding, warc
 from tessel.llm.shared import remainder, table
 
 
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Settings(words=4, percent=85))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
