@@ -151,8 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     return trained([bytes(r[2]) for r in rows], [r[1] for r in rows], s)
 
 
-def scored(docs: DataFrame, p: dict[str, np.ndarray], keep: list[str], text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """The kept columns and score, 0 to 1, of each whole text. Null counts as empty; an empty text is scored as all padding."""
+def scored(docs: DataFrame, p: dict[str, np.ndarray], keep: list[str], text: str = "text", s: Settings = Settings(), name: str = "score") -> DataFrame:
+    """The kept columns and the score (named as given), 0 to 1, of each whole text. Null counts as empty; an empty text is scored as all padding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +162,7 @@ def scored(docs: DataFrame, p: dict[str, np.ndarray], keep: list[str], text: str
                 first = np.cumsum([0] + [len(c) for c in cut[:-1]])
                 logit, _ = combined(p, pooled(p, np.concatenate(cut), s)[0], first, np.array([len(x or b"") for x in texts]))
                 out = 1 / (1 + np.exp(-logit.astype(float)))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, part.num_columns)], pa.array(out)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, part.num_columns)], pa.array(out)], [*keep, name])
 
-    chosen = docs.select(F.col(text).cast("binary"), *keep)
-    return arrow_map(chosen, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + ", score double")
+    chosen = docs.select(F.col(text).cast("binary").alias("_body"), *keep)
+    return arrow_map(chosen, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + f", `{name}` double")

@@ -202,6 +202,18 @@ def classes(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_i
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def deduplicated(docs: DataFrame, s: Settings = Settings(5, 80), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs without near copies: of each component the row with its smallest id stays, once.
+
+    Rows without an id cannot be told apart and stay. All columns of docs stay as they are.
+    """
+    found = classes(docs, s, text, doc_id)
+    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "jaccard-gone")
+    kept = docs.join(_light(gone, gone.count()), doc_id, "left_anti").select(docs.columns)
+    repeated = docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([doc_id, text])
+
+
 def _keys(reps: DataFrame, s: Settings) -> DataFrame:
     """tok, row, n: the prefix shingles, rare ones first, through which a class may meet a partner."""
     tokens = reps.select("row", F.explode("pre").alias("tok"))

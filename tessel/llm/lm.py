@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, part.num_columns)], pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64()), pa.array([x[2] for x in sums]), pa.array(inner), pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))], [*names, "n_tokens", "known", "logc", "inner", "tail"])
 
     names = keep
-    chosen = docs.select(F.col(text).cast("binary"), *keep)
+    chosen = docs.select(F.col(text).cast("binary").alias("_body"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     rows = arrow_map(chosen, run, f"{kept}, n_tokens long, known long, logc double, inner double, tail array<struct<word:binary,n:int>>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scored")

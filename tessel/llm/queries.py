@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, cnn, jaccard, lm, packing, pii, rules, sharding, warc
+from tessel.llm import ann, cnn, jaccard, lm, mixing, packing, pii, rules, sharding, warc
 from tessel.llm.shared import remainder, table
 
 
@@ -46,6 +46,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"), ["doc_id"]).drop("rejected_by")
 
 
+#: Shares of all tokens that the mix should have of each domain of the labelled table.
+TARGETS = {"sound": 0.95, "poor": 0.01, "toxic": 0.04}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled table; a null label counts as unknown."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "sound")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
     p = cnn.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -61,6 +75,7 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {
