@@ -13,6 +13,8 @@ partition, plus the counts of the partitions before it) is looked up in the plan
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -117,20 +119,56 @@ def planned(histogram: dict[int, int], size: int = 2048, rounds: int = 1500, rat
     return plan
 
 
+#: Letters below U+0250, all of them in composed form; the dotted capital I, whose lower case is two characters, is left out.
+_LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")
+_PLAIN = re.compile(rf"([{_LATIN}]*)([!-&(-/:-@\[-`{{-~]*)")
+
+
 class _Encoded(dict):
-    """Text between two spaces -> its token ids as little-endian 32-bit numbers. The tokenizer's words never cross a space."""
+    """Text between two spaces -> its token ids as little-endian 32-bit numbers. The tokenizer's words never cross a space.
+
+    A chunk of Latin letters and then ASCII punctuation is two of the tokenizer's words, the first in lower case: each is
+    looked up alone. Unseen words are encoded many at once, and told apart by their last token, which ends a word. All
+    other chunks go to the tokenizer as they are.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.words = Tokenizer.from_file(path), most, {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
 
-    def learn(self, chunks: list[str]) -> None:
-        new = list({c for c in chunks if c not in self})
+    def learn(self, texts: list[list[str]]) -> None:
+        new = (every := set().union(*texts)).difference(self)
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(set(chunks))
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            new = every
+        if len(self.words) > self.most:
+            self.words = {"": b""}
+        plain, odd = [], []
+        for c in new:
+            m = _PLAIN.fullmatch(c)
+            (plain if m else odd).append((c, m[1].lower(), m[2]) if m else c)
+        words, ids = self.words, lambda text: np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        unseen = list({w for _, a, b in plain for w in (a, b) if w not in words})
+        for i in range(0, len(unseen), 4000):
+            part = unseen[i : i + 4000]
+            got = ids(" ".join(part))
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) != len(part):  # a token that does not end its word was the last: take the words one by one
+                words |= {w: ids(w).tobytes() for w in part}
+                continue
+            data, at = got.tobytes(), 0
+            for w, stop in zip(part, (4 * stops).tolist()):
+                words[w] = data[at:stop]
+                at = stop
+        for c, a, b in plain:
+            self[c] = words[a] + words[b]
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self[c] = np.array(e.ids, "<u4").tobytes()
 
 
@@ -146,9 +184,9 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, t
             rows, out, held, chunks_held = [], [], 0, []
 
             def flush() -> None:
-                ids.learn([c for cut in chunks_held for c in cut])
+                ids.learn(chunks_held)
                 for r, cut in zip(rows, chunks_held):
-                    data = b"".join([ids[c] for c in cut]) + b"\0\0\0\0"
+                    data = b"".join(map(ids.__getitem__, cut)) + b"\0\0\0\0"
                     n = len(data) // 4
                     for piece, at in enumerate(range(0, n, size)):
                         length = min(size, n - at)
