@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch sent to Python: documents run to hundreds of kilobytes, so a batch stays in tens of megabytes.
 ARROW_ROWS = 1000
+#: Bytes in such a batch, about: a few long texts or sets fill it as well as many short ones.
+ARROW_BYTES = 8_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -50,6 +52,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(f, schema)
 
 
