@@ -5,10 +5,11 @@ of a few features of the text give posteriors for all documents (a linear discri
 feature is learned too: the largest log-odds, among a text's words, of a hashed word for each domain against the others.
 
 The rates w of documents are the nonnegative solution of least squares between the expected token total of every domain,
-sum_i w_i l_i p_ik, and its target T_k, with a slight ridge towards rates of 1. Projected gradient: in the metric where
-document i weighs l_i its step is w_i <- max(0, w_i - step * (p_i . g + ridge * (w_i - 1))) with g = (A w - T) / S, so an
-iteration needs one aggregation of K sums, and a document's rate is a fold of its posteriors over the short history. Steps are spectral (Barzilai-Borwein).
-Nothing but K-vectors reaches the driver, and nothing is stored by document between iterations.
+sum_i w_i l_i p_ik, and its target T_k, with a slight ridge towards rates of 1. Projected gradient: with the residuals
+g = (A w - T) / S, a step is w_i <- max(0, w_i - p_i . d), where d is the gradient in the metric of the domains' Gram
+matrix, or in the plain one when that has not made progress. An iteration is one aggregation of K + K^2 sums over the
+documents, and a document's rate is a short expression of its posteriors: nothing else reaches the driver, and nothing is
+stored by document between iterations.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ class Settings:
 
     sample: int = 8000
     buckets: int = 8192
-    iterations: int = 60
+    iterations: int = 25
     tolerance: float = 1e-7
     ridge: float = 1e-4
 
@@ -54,27 +56,28 @@ class Classifier:
     odds: list[list[float]]  # by domain, then bucket
     buckets: int
 
-    def _features(self, w: Column, text: Column) -> list[Column]:
+    def _features(self, w: Column, text: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1)).cast("double")
         length = F.greatest(F.length(text), F.lit(1)).cast("double")
-        distinct = F.array_distinct(w)
 
-        def largest(odds: list[float]) -> Column:
-            return F.coalesce(F.array_max(F.transform(distinct, lambda x: F.get(_numbers(odds), _bucket(x, self.buckets)))), F.lit(0.0))
+        def largest(buckets: Column, odds: list[float]) -> Column:
+            return F.coalesce(F.array_max(F.transform(buckets, lambda b: F.get(_numbers(odds), b))), F.lit(0.0))
 
-        return [
+        def learned(buckets: Column) -> Column:
+            return F.array(F.size(buckets) / n, *[largest(buckets, o) for o in self.odds])
+
+        hashed = let(F.array_distinct(F.transform(w, lambda x: _bucket(x, self.buckets))), learned)
+        return F.concat(F.array(
             F.log1p(F.size(w).cast("double")),
             F.least(length / n, F.lit(40.0)),
-            F.size(distinct) / n,
             F.least(F.length(F.regexp_replace(text, r"[^#*$%&|<>!]+", "")) / n, F.lit(3.0)),
             F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / length,
-            *map(largest, self.odds),
-        ]
+        ), hashed)
 
     def described(self, text: Column) -> Column:
         """struct(tokens, f): the words of the text and its features. Null text is empty."""
         t = F.coalesce(text, F.lit(""))
-        return let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("tokens"), F.array(*self._features(w, t)).alias("f")))
+        return let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("tokens"), self._features(w, t).alias("f")))
 
     def posteriors(self, f: Column) -> Column:
         """An array of the domains' posteriors, which sum to 1."""
@@ -123,45 +126,41 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str =
 
 
 def rate(p: Column, history: list[list[float]]) -> Column:
-    """A document's rate: 1, then max(0, w - p . d - r (w - 1)) for each (d, r) of the history."""
-    if not history:
-        return F.lit(1.0)
-    k = len(history[0])
-    flat = _numbers([x for d in history for x in d])
-    dot = lambda i: sum(F.get(p, F.lit(j)) * F.get(flat, i * k + j) for j in range(k - 1))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(history) - 1)), F.lit(1.0), lambda w, i: F.greatest(F.lit(0.0), w - dot(i) - F.get(flat, i * k + k - 1) * (w - 1)))
+    """A document's rate: 1, then max(0, w - p . d) for each step d of the history."""
+    w = F.lit(1.0)
+    for d in history:
+        w = F.greatest(F.lit(0.0), w - sum(F.get(p, F.lit(j)) * F.lit(float(x)) for j, x in enumerate(d)))
+    return w
 
 
 def solved(rows: DataFrame, targets: list[float], s: Settings = Settings()) -> tuple[list[list[float]], list[list[float]]]:
-    """(history, residuals by iteration) for rows (tokens, p). targets: shares of all tokens; they are scaled to sum to 1."""
+    """(steps, residuals by iteration) for rows (tokens, p). targets: shares of all tokens; they are scaled to sum to 1."""
     k = len(targets)
-    share = [t / sum(targets) for t in targets]
+    share = np.array(targets) / sum(targets)
     at = lambda j: F.get("p", F.lit(j))
-    l = F.col("tokens").cast("double")  # noqa: E741
-    first = rows.agg(F.coalesce(F.sum(l), F.lit(0.0)), *[F.coalesce(F.sum(l * at(i) * at(j)), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    total = first[0]
-    if not total:
-        return [], []
-    gram = [[first[1 + i * k + j] / total for j in range(k)] for i in range(k)]
-    step = 1 / (s.ridge + max(sum(abs(x) for x in row) for row in gram))  # 1 / a bound of the largest eigenvalue
-    history: list[list[float]] = []
+    steps: list[list[float]] = []
     residuals: list[list[float]] = []
-    g_was: list[float] | None = None
+    moved, was = np.zeros(k), np.inf
     for _ in range(s.iterations):
-        now = rate(F.col("p"), history)
-        was = rate(F.col("p"), history[:-1])
-        got = rows.select(l.alias("l"), "p", now.alias("w"), was.alias("u")).agg(F.sum(F.col("l") * (F.col("w") - F.col("u")) ** 2), *[F.sum(F.col("l") * F.col("w") * at(j)) for j in range(k)]).first()
-        g = [got[1 + j] / total - share[j] for j in range(k)]
-        residuals.append(g)
-        moved = got[0] / total
-        if max(map(abs, g)) < s.tolerance or history and moved < 1e-18:
+        now = rows.select(F.col("tokens").cast("double").alias("l"), "p", rate(F.col("p"), steps).alias("w"))
+        mass = F.when(F.col("w") > 0, F.col("l")).otherwise(0.0)  # of the documents that a step can move either way
+        got = now.agg(F.sum("l"), *[F.sum(F.col("l") * F.col("w") * at(j)) for j in range(k)], *[F.sum(mass * at(i) * at(j)) for i in range(k) for j in range(i, k)]).first()
+        if not got[0]:
+            return [], []
+        g = np.array(got[1 : 1 + k]) / got[0] - share
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = np.array(got[1 + k :]) / got[0]
+        gram += np.triu(gram, 1).T
+        residuals.append(g.tolist())
+        slope = g - s.ridge * moved
+        size = float(np.abs(slope).max())
+        if size < s.tolerance:
             break
-        if g_was is not None and (change := sum((a - b) ** 2 for a, b in zip(g, g_was)) + s.ridge * moved) > 0:
-            step = moved / change
-        history.append([*[step * x for x in g], step * s.ridge])
-        g_was = g
-    best = min(range(len(residuals)), key=lambda i: sum(x * x for x in residuals[i]))
-    return history[:best], residuals[: best + 1]
+        metric = gram + s.ridge * np.eye(k) if size < 0.9 * was else np.eye(k) * (np.linalg.norm(gram, 1) + s.ridge)
+        d = np.linalg.solve(metric, slope)
+        steps.append(d.tolist())
+        moved, was = moved + d, size
+    return steps, residuals
 
 
 def copies(w: Column, doc_id: Column, seed: int = 17) -> Column:
