@@ -4,10 +4,12 @@ A text's set is its distinct n-word shingles, as 64-bit hashes. Sets equal to ea
 row stands for all. With t the threshold, sets x and y that link share at least ceil(t |x|) shingles, so under any global
 order of shingles the first |x| - ceil(t |x|) + l of x and as many of y share at least l. Three orders are used:
 
-1. by hash, ascending, with l = 1 + n / 20. Only these prefixes are exploded. A shingle that no second class has in its
-   prefix cannot be shared, and a class with fewer than l shared shingles in its prefix links with nothing: it is done.
-2. by frequency, rarest first, within those prefixes: of a class's s shared prefix shingles the s - l + 1 rarest hold one
-   that its partner has among its own. Passages that many texts share are frequent, so they seldom become keys.
+1. by hash, ascending, with l about n / 20. Only these prefixes of all texts are exploded. A shingle that no second class
+   has in its prefix cannot be shared, and a class with fewer than l shared shingles in its prefix links with nothing: it
+   is done. Of the others the whole sets are computed again, and
+2. by frequency, rarest first, within the prefix by hash with l about n / 3: of a class's s shared shingles there, the
+   s - l + 1 rarest hold one that its partner has among its own. They are its keys. A passage that many texts share
+   gives a class no key unless it makes up most of the class.
 3. by hash, descending: the last shingles of the sorted sets, checked with order 1 before a pair is verified in full.
 
 Verification intersects the whole sets. Pairs are not enumerated within a key. First every class meets the smallest class
@@ -27,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import arrow_map, in_slices, words_of, written
+from tessel.llm.shared import arrow_map, in_slices, tidied, words_of, written
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of a side that is sent to all executors, at most (8 to 24 bytes a row).
 SMALL = 300_000
+#: Hundredths of a set's size that l adds to 1 in the first and the second filter.
+WIDE, NARROW = 5, 33
 
 
 @dataclass
@@ -45,17 +49,17 @@ class Settings:
         return -(-self.percent * n // 100)
 
     @staticmethod
-    def depth(n):
-        return 1 + n // 20
+    def depth(n, share=WIDE):
+        """l: how many shingles the prefixes of a linked pair share at least."""
+        return 1 + n * share // 100
 
-    def least(self, n):
-        """Shared shingles that a prefix must hold, whatever the partner's size."""
-        return self.depth(self.overlap(n))
+    def prefix(self, n, share=WIDE):
+        return n - self.overlap(n) + self.depth(n, share)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -86,10 +90,10 @@ def signatures(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            for part in in_slices(batch, 0):
+            for part in in_slices(batch, 0, 2_000_000):
                 sets = [shingles(words_of(x), s.words, hashes) for x in part.column(0).to_pylist()]
                 n = np.array([len(x) for x in sets], np.int64)
-                pre = [x[: len(x) - s.overlap(len(x)) + s.depth(len(x))] if len(x) else x for x in sets]
+                pre = [x[: s.prefix(len(x))] if len(x) else x for x in sets]
                 flat = np.concatenate(pre).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in pre]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(n), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], ["doc_id", "n", "fp", "pre"])
@@ -112,7 +116,7 @@ def sets_of(docs: DataFrame, active: DataFrame, n_active: int, s: Settings, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            for part in in_slices(batch, 0):
+            for part in in_slices(batch, 0, 2_000_000):
                 sets = [shingles(words_of(x), s.words, hashes).tobytes() for x in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "set"])
 
@@ -145,7 +149,7 @@ def _may_link(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
     if 100 * small < s.percent * large:
         return False
     least = min(s.depth(len(x)), s.depth(len(y)))
-    cut = lambda v: len(v) - s.overlap(len(v)) + s.depth(len(v))
+    cut = lambda v: s.prefix(len(v))
     if len(np.intersect1d(x[: cut(x)], y[: cut(y)], assume_unique=True)) < least:
         return False
     return len(np.intersect1d(x[-cut(x) :], y[-cut(y) :], assume_unique=True)) >= least
@@ -183,9 +187,11 @@ def classes(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_i
     copies = of_class.filter("cls <> row").select("row")
     reps = full.select("row", "n", "pre").join(_light(copies, copies.count()), "row", "left_anti")
 
-    keys = written(_keys(reps, s), "jaccard-keys")  # tok, row, n
-    active = written(keys.select("row").distinct().join(of_class.select("row", "doc_id", "fp"), "row"), "jaccard-active")
+    active = written(_active(reps, s).join(of_class.select("row", "doc_id", "fp", "n"), "row"), "jaccard-active")
     sets = written(sets_of(docs, active, active.count(), s, text, doc_id), "jaccard-sets")
+    tidied(docs.sparkSession)
+    keys = written(_keys(sets, active.select("row", "n"), s), "jaccard-keys")  # tok, row, n
+    tidied(docs.sparkSession)
 
     leaders = keys.groupBy("tok").agg(F.min("row").alias("a"), F.count("*").alias("c")).filter("c > 1").select("tok", "a")
     met = keys.join(leaders, "tok")
@@ -214,14 +220,35 @@ def deduplicated(docs: DataFrame, s: Settings = Settings(5, 80), text: str = "te
     return kept if repeated.isEmpty() else kept.dropDuplicates([doc_id, text])
 
 
-def _keys(reps: DataFrame, s: Settings) -> DataFrame:
-    """tok, row, n: the prefix shingles, rare ones first, through which a class may meet a partner."""
+def _shared(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+
+
+def _least(share: int, s: Settings):
+    """l for the smallest partner that a class of n shingles may have."""
+    return F.lit(1) + F.floor(F.floor((s.percent * F.col("n") + 99) / 100) * share / 100)
+
+
+def _active(reps: DataFrame, s: Settings) -> DataFrame:
+    """row of the classes that pass the first filter."""
     tokens = reps.select("row", F.explode("pre").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
-    by_row = tokens.join(shared, "tok").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("own"))  # bounded by the text
-    overlap = F.floor((s.percent * F.col("n") + 99) / 100)
-    count = F.size("own") - F.floor(overlap / 20)  # s - l + 1 with l = 1 + overlap / 20
-    kept = by_row.join(reps.select("row", "n"), "row").filter(count > 0)
+    count = tokens.join(_shared(tokens), "tok").groupBy("row").agg(F.count("*").alias("own"))
+    return count.join(reps.select("row", "n"), "row").filter(F.col("own") >= _least(WIDE, s)).select("row")
+
+
+def _keys(sets: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """tok, row, n: the prefix shingles, rare ones first, through which a class may meet a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pre = [x[: s.prefix(len(x), NARROW)] for x in (np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist())]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in pre]), pa.int32()), pa.array(np.concatenate(pre)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "pre"])
+
+    tokens = arrow_map(sets.select("row", "set"), run, "row long, pre array<long>").select("row", F.explode("pre").alias("tok"))
+    by_row = tokens.join(_shared(tokens), "tok").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("own"))  # bounded by the text
+    count = F.size("own") - _least(NARROW, s) + 1
+    kept = by_row.join(sizes, "row").filter(count > 0)
     keys = kept.select("row", "n", F.explode(F.slice("own", 1, count.cast("int"))).alias("k")).select(F.col("k.tok").alias("tok"), "row", "n")
     alone = keys.groupBy("tok").agg(F.count("*").alias("c")).filter("c = 1").select("tok")
     return keys.join(alone, "tok", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -37,6 +38,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of earlier steps, whose results are written: it does when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing reads any more."""
     spark = df.sparkSession
