@@ -13,6 +13,7 @@ partition, plus the counts of the partitions before it) is looked up in the plan
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -105,7 +106,7 @@ def rounded(use: dict[tuple[tuple[int, int], ...], float], share: float, left: d
     return plan + best_fit(left, size)
 
 
-def planned(histogram: dict[int, int], size: int = 2048, rounds: int = 1500, rate: float = 1.0) -> Plan:
+def planned(histogram: dict[int, int], size: int = 2048, rounds: int = 700, rate: float = 1.0) -> Plan:
     """(lengths of a sequence, how many such sequences): together they hold each length as often as the histogram."""
     left = {int(k): int(n) for k, n in histogram.items() if n > 0}
     plan: Plan = []
@@ -132,7 +133,7 @@ class _Encoded(dict):
     other chunks go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -147,7 +148,7 @@ class _Encoded(dict):
         if len(self) + len(new) > self.most:
             self.clear()
             new = every
-        if len(self.words) > self.most:
+        if len(self.words) > self.most // 2:
             self.words = {"": b""}
         plain, odd = [], []
         for c in new:
@@ -172,6 +173,12 @@ class _Encoded(dict):
             self[c] = np.array(e.ids, "<u4").tobytes()
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> _Encoded:
+    """One for all tasks of a Python worker: words seen by earlier tasks are known to later ones."""
+    return _Encoded(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, text: str = "text") -> DataFrame:
     """The kept columns and piece, start, length, ids_crc32, part, nth (of its length in its part): a row for each piece.
 
@@ -179,7 +186,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, nth = _Encoded(tokenizer), np.zeros(size + 1, np.int64)
+        ids, nth = _encoder(tokenizer), np.zeros(size + 1, np.int64)
         for batch in batches:
             rows, out, held, chunks_held = [], [], 0, []
 
