@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -120,63 +121,95 @@ def planned(histogram: dict[int, int], size: int = 2048, rounds: int = 700, rate
     return plan
 
 
-#: Letters below U+0250, all of them in composed form; the dotted capital I, whose lower case is two characters, is left out.
-_LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")
-_PLAIN = re.compile(rf"([{_LATIN}]*)([!-&(-/:-@\[-`{{-~]*)")
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_DIGITS = "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == "N")
+#: How the tokenizer cuts text into words, for text that Latin-1 can hold. Such text is composed already, and its lower
+#: case is a matter of single characters. What lies between words is white space.
+_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\t-\r \x85\xa0{_LETTERS}{_DIGITS}]+")
 
 
-class _Encoded(dict):
-    """Text between two spaces -> its token ids as little-endian 32-bit numbers. The tokenizer's words never cross a space.
+class _Encoder:
+    """Texts to token ids, as little-endian 32-bit numbers.
 
-    A chunk of Latin letters and then ASCII punctuation is two of the tokenizer's words, the first in lower case: each is
-    looked up alone. Unseen words are encoded many at once, and told apart by their last token, which ends a word. All
-    other chunks go to the tokenizer as they are.
+    A text is cut at spaces and line ends, which the tokenizer's words never cross, and each part's ids are looked up. An
+    unseen part in Latin-1 is cut into words here; unseen words are encoded many at once and told apart by their last
+    token, which ends a word. Other unseen parts go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most, self.words = Tokenizer.from_file(path), most, {"": b""}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.plain = Tokenizer.from_file(path)  # for words that are cut and in lower case already: its merges alone
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = (every := set().union(*texts)).difference(self)
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = every
-        if len(self.words) > self.most // 2:
-            self.words = {"": b""}
-        plain, odd = [], []
-        for c in new:
-            m = _PLAIN.fullmatch(c)
-            (plain if m else odd).append((c, m[1].lower(), m[2]) if m else c)
-        words, ids = self.words, lambda text: np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        unseen = list({w for _, a, b in plain for w in (a, b) if w not in words})
-        for i in range(0, len(unseen), 4000):
-            part = unseen[i : i + 4000]
-            got = ids(" ".join(part))
+    def _words(self, part: str) -> list[str] | None:
+        """The words of a part, or None if only the tokenizer can tell."""
+        try:
+            part.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if "<|" in part and any(t in part for t in self.special) else _CUT.findall(part.lower())
+
+    def _plain(self, words: list[str]) -> None:
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            got = self._ids(" ".join(part))
             stops = np.flatnonzero(self.ends[got]) + 1
-            if len(stops) != len(part):  # a token that does not end its word was the last: take the words one by one
-                words |= {w: ids(w).tobytes() for w in part}
+            if len(stops) != len(part):  # not one ending token a word: take them one by one
+                self.words |= {w: self._ids(w).tobytes() for w in part}
                 continue
             data, at = got.tobytes(), 0
             for w, stop in zip(part, (4 * stops).tolist()):
-                words[w] = data[at:stop]
+                self.words[w] = data[at:stop]
                 at = stop
-        for c, a, b in plain:
-            self[c] = words[a] + words[b]
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.words) > self.most:
+            self.words.clear()
+        cuts = [(p, self._words(p)) for p in parts]
+        self._plain(list(set().union(*(ws for _, ws in cuts if ws)).difference(self.words)))
+        odd = [p for p, ws in cuts if ws is None]
+        of, join = self.words.__getitem__, b"".join
+        self.parts.update((p, join(map(of, ws))) for p, ws in cuts if ws is not None)
+        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        get = self.parts.get
+        found, missing = [], set()
+        for t in texts:
+            cut = t.replace("\n", " ").split(" ")
+            ids = list(map(get, cut))
+            holes = [i for i, x in enumerate(ids) if x is None]
+            missing.update(cut[i] for i in holes)
+            found.append((ids, holes, [cut[i] for i in holes]))
+        if missing:
+            self._learn(missing)
+        for ids, holes, parts in found:
+            for i, p in zip(holes, parts):
+                ids[i] = self.parts[p]
+        return [b"".join(ids) for ids, _, _ in found]
 
 
 @functools.lru_cache(1)
-def _encoder(path: str) -> _Encoded:
+def _encoder(path: str) -> _Encoder:
     """One for all tasks of a Python worker: words seen by earlier tasks are known to later ones."""
-    return _Encoded(path)
+    return _Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, text: str = "text") -> DataFrame:
@@ -188,27 +221,22 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, nth = _encoder(tokenizer), np.zeros(size + 1, np.int64)
         for batch in batches:
-            rows, out, held, chunks_held = [], [], 0, []
-
-            def flush() -> None:
-                ids.learn(chunks_held)
-                for r, cut in zip(rows, chunks_held):
-                    data = b"".join(map(ids.__getitem__, cut)) + b"\0\0\0\0"
+            out: list[tuple] = []
+            texts = [x or "" for x in batch.column(0).to_pylist()]
+            first = 0
+            while first < len(texts):
+                last, size_so_far = first, 0
+                while last < len(texts) and (size_so_far < 1_000_000 or last == first):
+                    size_so_far += len(texts[last])
+                    last += 1
+                for r, data in enumerate(ids.encode(texts[first:last]), first):
+                    data += b"\0\0\0\0"
                     n = len(data) // 4
                     for piece, at in enumerate(range(0, n, size)):
                         length = min(size, n - at)
                         out.append((r, piece, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]), int(nth[length])))
                         nth[length] += 1
-
-            for r, x in enumerate(batch.column(0).to_pylist()):
-                cut = (x or "").replace("\n", " ").split(" ")
-                rows.append(r)
-                chunks_held.append(cut)
-                held += len(cut)
-                if held > 150_000:
-                    flush()
-                    rows, held, chunks_held = [], 0, []
-            flush()
+                first = last
             take = pa.array([x[0] for x in out], pa.int64())
             col = lambda i, kind: pa.array([x[i] for x in out], kind)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(1, batch.num_columns)], col(1, pa.int32()), col(2, pa.int64()), col(3, pa.int64()), col(4, pa.int64()), col(5, pa.int64())], [*keep, "piece", "start", "length", "ids_crc32", "nth"])
