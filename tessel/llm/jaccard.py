@@ -7,15 +7,16 @@ order of shingles the first |x| - ceil(t |x|) + l of x and as many of y share at
 1. by hash, ascending, with l about n / 20. Only these prefixes of all texts are exploded. A shingle that no second class
    has in its prefix cannot be shared, and a class with fewer than l shared shingles in its prefix links with nothing: it
    is done. Of the others the whole sets are computed again, and
-2. by frequency, rarest first, within the prefix by hash with l about n / 3: of a class's s shared shingles there, the
-   s - l + 1 rarest hold one that its partner has among its own. They are its keys. A passage that many texts share
-   gives a class no key unless it makes up most of the class.
+2. by frequency, rarest first: shingles that no other class has come first, and of the s others of a class the
+   s - ceil(t |x|) + 1 rarest hold one that its partner has among its own. They are its keys. A class of which more than
+   1 - t is its own has none, whatever passages it shares.
 3. by hash, descending: the last shingles of the sorted sets, checked with order 1 before a pair is verified in full.
 
-Verification intersects the whole sets. Pairs are not enumerated within a key. First every class meets the smallest class
-of each of its keys (a star: as many pairs as rows); links found give components. Only classes of different components
-that still share a key are compared, and of those only pairs whose distances to the key's smallest class differ by no
-more than 1 - t, since 1 - Jaccard is a metric. Nothing is capped.
+Verification intersects the whole sets. Pairs are not enumerated within a key. First every class meets the centre of each
+of its keys, the class with the fewest shingles of its own (a star: as many pairs as rows); links found give components.
+Only classes of different components that still share a key are compared, and of those only pairs that can link by the
+shingles they share with any class and by their parity maps, and whose distances to the key's centre differ by no more than 1 - t, since
+1 - Jaccard is a metric. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from tessel.llm.shared import arrow_map, in_slices, tidied, words_of, written
 
+#: Bits of a set's parity map.
+BITS = 1024
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of a side that is sent to all executors, at most (8 to 24 bytes a row).
 SMALL = 300_000
-#: Hundredths of a set's size that l adds to 1 in the first and the second filter.
-WIDE, NARROW = 5, 33
+#: Hundredths of a set's size that l adds to 1 in the filters by hash.
+WIDE = 5
 
 
 @dataclass
@@ -49,12 +52,12 @@ class Settings:
         return -(-self.percent * n // 100)
 
     @staticmethod
-    def depth(n, share=WIDE):
+    def depth(n):
         """l: how many shingles the prefixes of a linked pair share at least."""
-        return 1 + n * share // 100
+        return 1 + n * WIDE // 100
 
-    def prefix(self, n, share=WIDE):
-        return n - self.overlap(n) + self.depth(n, share)
+    def prefix(self, n):
+        return n - self.overlap(n) + self.depth(n)
 
 
 class _WordHashes(dict):
@@ -84,6 +87,12 @@ def shingles(words: list[bytes], k: int, hashes: dict[bytes, int]) -> np.ndarray
     return np.unique(h)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits, each the parity of the hashes that fall on it: two sets differ in at least as many hashes as bits."""
+    odd = (np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def signatures(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
     """row, doc_id, n (size of the set), fp (128 bits of the set), pre (the first shingles by hash)."""
 
@@ -108,7 +117,7 @@ def _light(df: DataFrame, n: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, active: DataFrame, n_active: int, s: Settings, text: str, doc_id: str) -> DataFrame:
-    """row, set (sorted hashes) of the classes in active (row, doc_id, fp), computed again from their texts."""
+    """row, set (sorted hashes), bits (parity map) of the classes in active (row, doc_id, fp), computed again from their texts."""
     ids = active.select("doc_id").distinct()
     same = F.col(doc_id).eqNullSafe(F.col("a_id"))
     some = docs.select(F.col(text).cast("binary"), F.col(doc_id)).join(_light(ids.withColumnRenamed("doc_id", "a_id"), n_active), same, "left_semi").select(text)
@@ -117,11 +126,13 @@ def sets_of(docs: DataFrame, active: DataFrame, n_active: int, s: Settings, text
         hashes = _WordHashes()
         for batch in batches:
             for part in in_slices(batch, 0, 2_000_000):
-                sets = [shingles(words_of(x), s.words, hashes).tobytes() for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "set"])
+                sets = [shingles(words_of(x), s.words, hashes) for x in part.column(0).to_pylist()]
+                maps = [parity(x).tolist() for x in sets]
+                sets = [x.tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary()), pa.array(maps, pa.list_(pa.int64()))], ["fp", "set", "bits"])
 
-    found = arrow_map(some, run, "fp binary, set binary")
-    return found.join(_light(active.select("row", "fp"), n_active), "fp").select("row", "set").dropDuplicates(["row"])
+    found = arrow_map(some, run, "fp binary, set binary, bits array<long>")
+    return found.join(_light(active.select("row", "fp"), n_active), "fp").select("row", "set", "bits").dropDuplicates(["row"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, s: Settings, distances: bool = False) -> DataFrame:
@@ -190,15 +201,15 @@ def classes(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_i
     active = written(_active(reps, s).join(of_class.select("row", "doc_id", "fp", "n"), "row"), "jaccard-active")
     sets = written(sets_of(docs, active, active.count(), s, text, doc_id), "jaccard-sets")
     tidied(docs.sparkSession)
-    keys = written(_keys(sets, active.select("row", "n"), s), "jaccard-keys")  # tok, row, n
+    keys = written(_keys(sets, active.select("row", "n"), s), "jaccard-keys")  # tok, row, n, s
     tidied(docs.sparkSession)
 
-    leaders = keys.groupBy("tok").agg(F.min("row").alias("a"), F.count("*").alias("c")).filter("c > 1").select("tok", "a")
+    leaders = keys.groupBy("tok").agg(F.min(F.struct(F.expr("n - s").alias("u"), "row")).getField("row").alias("a"), F.count("*").alias("c")).filter("c > 1").select("tok", "a")
     met = keys.join(leaders, "tok")
     pairs = met.filter("row <> a").select("a", F.col("row").alias("b")).distinct()
     star = written(verified(pairs, sets, s, distances=True), "jaccard-star")
     labels = components(star.filter("linked"))
-    rest = _rest(met, star, labels, s)
+    rest = _rest(met, star, labels, sets, s)
     more = written(verified(rest, sets, s).filter("linked"), "jaccard-more")
     if not more.isEmpty():
         labels = components(star.filter("linked").select("a", "b").union(more.select("a", "b")))
@@ -224,40 +235,41 @@ def _shared(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
 
 
-def _least(share: int, s: Settings):
-    """l for the smallest partner that a class of n shingles may have."""
-    return F.lit(1) + F.floor(F.floor((s.percent * F.col("n") + 99) / 100) * share / 100)
+def _overlap(s: Settings):
+    return F.floor((s.percent * F.col("n") + 99) / 100)
 
 
 def _active(reps: DataFrame, s: Settings) -> DataFrame:
     """row of the classes that pass the first filter."""
     tokens = reps.select("row", F.explode("pre").alias("tok"))
     count = tokens.join(_shared(tokens), "tok").groupBy("row").agg(F.count("*").alias("own"))
-    return count.join(reps.select("row", "n"), "row").filter(F.col("own") >= _least(WIDE, s)).select("row")
+    return count.join(reps.select("row", "n"), "row").filter(F.col("own") >= 1 + F.floor(_overlap(s) * WIDE / 100)).select("row")  # l of the smallest partner
 
 
 def _keys(sets: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
-    """tok, row, n: the prefix shingles, rare ones first, through which a class may meet a partner."""
+    """tok, row, n, s: the shingles, rare ones first, through which a class may meet a partner; s: shingles it shares with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pre = [x[: s.prefix(len(x), NARROW)] for x in (np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist())]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in pre]), pa.int32()), pa.array(np.concatenate(pre)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "pre"])
+            whole = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in whole]), pa.int32()), pa.array(np.concatenate(whole)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "all"])
 
-    tokens = arrow_map(sets.select("row", "set"), run, "row long, pre array<long>").select("row", F.explode("pre").alias("tok"))
+    tokens = arrow_map(sets.select("row", "set"), run, "row long, all array<long>").select("row", F.explode("all").alias("tok"))
     by_row = tokens.join(_shared(tokens), "tok").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("own"))  # bounded by the text
-    count = F.size("own") - _least(NARROW, s) + 1
+    count = F.size("own") - _overlap(s) + 1
     kept = by_row.join(sizes, "row").filter(count > 0)
-    keys = kept.select("row", "n", F.explode(F.slice("own", 1, count.cast("int"))).alias("k")).select(F.col("k.tok").alias("tok"), "row", "n")
+    keys = kept.select("row", "n", F.size("own").cast("long").alias("s"), F.explode(F.slice("own", 1, count.cast("int"))).alias("k")).select(F.col("k.tok").alias("tok"), "row", "n", "s")
     alone = keys.groupBy("tok").agg(F.count("*").alias("c")).filter("c = 1").select("tok")
     return keys.join(alone, "tok", "left_anti")
 
 
-def _rest(met: DataFrame, star: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """Pairs, not in the star, of different components that share a key and may link by size and by distance.
+def _rest(met: DataFrame, star: DataFrame, labels: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Pairs, not in the star, of different components that share a key and may link by size, shared shingles and distance.
 
-    A class that did not link with its key's smallest class, at distance d from it, meets the others of that key whose
+    The intersection has at most min(s) shingles, and the sets differ in at least as many as their parity maps do: both
+    bound the similarity.
+    A class that did not link with its key's centre, at distance d from it, meets the others of that key whose
     distance lies within 1 - t of d; of those that did link (at most 1 - t away) it meets none if d > 2 (1 - t).
     """
     band = 1 - s.percent / 100 + 1e-9
@@ -265,13 +277,17 @@ def _rest(met: DataFrame, star: DataFrame, labels: DataFrame, s: Settings) -> Da
     here = met.filter("row <> a").join(labels.select("row", F.col("root").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     here = here.join(star, ["a", "row"])
     open_keys = here.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("done")).filter("lo < hi and not done").select("tok")
-    here = written(here.join(open_keys, "tok").select("tok", "row", "n", "comp", "dist", "linked"), "jaccard-open")
-    x, y = (here.select("tok", *[F.col(c).alias(f"{k}_{c}") for c in ("row", "n", "comp", "dist", "linked")]) for k in "xy")
+    here = here.join(open_keys, "tok").join(sets.select("row", "bits"), "row")
+    here = written(here.select("tok", "row", "n", "s", "comp", "dist", "linked", "bits"), "jaccard-open")
+    x, y = (here.select("tok", *[F.col(c).alias(f"{k}_{c}") for c in ("row", "n", "s", "comp", "dist", "linked", "bits")]) for k in "xy")
+    apart = sum(F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(BITS // 64))
     fits = (
         (F.col("x_comp") != F.col("y_comp"))
         & (F.col("y_linked") | (F.col("x_row") < F.col("y_row")))
         & (F.abs(F.col("x_dist") - F.col("y_dist")) <= band)
         & (100 * F.least("x_n", "y_n") >= s.percent * F.greatest("x_n", "y_n"))
+        & ((100 + s.percent) * F.least("x_s", "y_s") >= s.percent * (F.col("x_n") + F.col("y_n")))
+        & ((100 + s.percent) * (F.col("x_n") + F.col("y_n") - apart) >= 2 * s.percent * (F.col("x_n") + F.col("y_n")))
     )
     pairs = x.filter("not x_linked").join(y, "tok").filter(fits)
     return pairs.select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()
