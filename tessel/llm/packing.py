@@ -152,13 +152,13 @@ class _Encoder:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
 
-    def _words(self, part: str) -> list[str] | None:
-        """The words of a part, or None if only the tokenizer can tell."""
+    def _is_plain(self, text: str) -> bool:
+        """Whether its parts' words can be told here."""
         try:
-            part.encode("latin-1")
+            text.encode("latin-1")
         except UnicodeEncodeError:
-            return None
-        return None if "<|" in part and any(t in part for t in self.special) else _CUT.findall(part.lower())
+            return False
+        return "<|" not in text or not any(t in text for t in self.special)
 
     def _plain(self, words: list[str]) -> None:
         for i in range(0, len(words), 4000):
@@ -176,30 +176,34 @@ class _Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, plain: set[str], odd: set[str]) -> None:
         if len(self.words) > self.most:
             self.words.clear()
-        cuts = [(p, self._words(p)) for p in parts]
-        self._plain(list(set().union(*(ws for _, ws in cuts if ws)).difference(self.words)))
-        odd = [p for p, ws in cuts if ws is None]
+        single = [(p, p.lower()) for p in plain if p.isalpha()]
+        several = [(p, _CUT.findall(p.lower())) for p in plain if not p.isalpha()]
+        self._plain(list({w for _, w in single}.union(*(ws for _, ws in several)).difference(self.words)))
         of, join = self.words.__getitem__, b"".join
-        self.parts.update((p, join(map(of, ws))) for p, ws in cuts if ws is not None)
-        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
+        self.parts.update([(p, of(w)) for p, w in single])
+        self.parts.update([(p, join(map(of, ws))) for p, ws in several])
+        odd_list = list(odd.difference(plain))
+        for p, e in zip(odd_list, self.tokenizer.encode_batch_fast(odd_list, add_special_tokens=False) if odd_list else ()):
             self.parts[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > self.most:
             self.parts.clear()
         get = self.parts.get
-        found, missing = [], set()
+        found, plain, odd = [], set(), set()
         for t in texts:
             cut = t.replace("\n", " ").split(" ")
             ids = list(map(get, cut))
-            holes = [i for i, x in enumerate(ids) if x is None]
-            missing.update(cut[i] for i in holes)
-            found.append((ids, holes, [cut[i] for i in holes]))
-        if missing:
-            self._learn(missing)
+            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            new = [cut[i] for i in holes]
+            if new:
+                (plain if self._is_plain(t) else odd).update(new)
+            found.append((ids, holes, new))
+        if plain or odd:
+            self._learn(plain, odd)
         for ids, holes, parts in found:
             for i, p in zip(holes, parts):
                 ids[i] = self.parts[p]
