@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of at most 2048 tokens."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], known=150_000)  # the workers hold earlier stages' memory too
 
 
 STAGES = [

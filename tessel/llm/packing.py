@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from tessel.llm.shared import arrow_map, written
 
+#: Words that a worker keeps the ids of (about 200 bytes each, twice).
+KNOWN = 700_000
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -136,7 +138,7 @@ class _Encoder:
     token, which ends a word. Other unseen parts go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -211,19 +213,19 @@ class _Encoder:
 
 
 @functools.lru_cache(1)
-def _encoder(path: str) -> _Encoder:
+def _encoder(path: str, known: int) -> _Encoder:
     """One for all tasks of a Python worker: words seen by earlier tasks are known to later ones."""
-    return _Encoder(path)
+    return _Encoder(path, known)
 
 
-def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, text: str = "text", known: int = KNOWN) -> DataFrame:
     """The kept columns and piece, start, length, ids_crc32, part, nth (of its length in its part): a row for each piece.
 
     Null text counts as empty and is one piece, the end token 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, nth = _encoder(tokenizer), np.zeros(size + 1, np.int64)
+        ids, nth = _encoder(tokenizer, known), np.zeros(size + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
             texts = [x or "" for x in batch.column(0).to_pylist()]
@@ -250,12 +252,12 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, t
     return arrow_map(chosen, run, f"{kept}, piece int, start long, length long, ids_crc32 long, nth long").withColumn("part", F.spark_partition_id())
 
 
-def packed(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, text: str = "text", known: int = KNOWN) -> DataFrame:
     """pieces() with sequence_id and offset in place of part and nth.
 
     Repeated rows are packed each; other columns do not matter; an empty table gives an empty result.
     """
-    rows = written(pieces(docs, tokenizer, keep, size, text), "pack-pieces")
+    rows = written(pieces(docs, tokenizer, keep, size, text, known), "pack-pieces")
     by_part = written(rows.groupBy("part", "length").count(), "pack-counts")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
