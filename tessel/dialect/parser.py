@@ -326,6 +326,8 @@ class Parser:
             self.i += 2
             return N("gset", exprs=[])
         e = self.expr()
+        while e.kind == "paren":
+            e = e.arg
         return N("gset", exprs=e.items if e.kind == "row" and not e.explicit else [e])
 
     def group_list(self) -> list[list[N]]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import json
+import re
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -180,6 +181,8 @@ def _cast(x: E, kind: str, mods: list[int]) -> E:
         if text is not None and text.strip().lower() in ("now", "today", "tomorrow", "yesterday", "epoch"):
             base = {"now": "current_timestamp()", "today": "current_date()", "tomorrow": "date_add(current_date(), 1)", "yesterday": "date_sub(current_date(), 1)", "epoch": "TIMESTAMP_NTZ '1970-01-01 00:00:00'"}
             return E(f"CAST({base[text.strip().lower()]} AS {spark})", kind)
+        if text is not None and re.search(r"\d [+-]?\d*.*[+-]\d\d$", text):
+            return E(f"CAST({quoted(text + ':00')} AS {spark})", kind)
         if kind == "date" and text is not None and len(text) > 10:
             return E(f"CAST(left({x.sql}, 10) AS DATE)", kind)
         return E(f"CAST({x.sql} AS {spark})", kind)
@@ -268,7 +271,7 @@ def operator(op: str, a: E, b: E, tr: Any) -> E:
         return E(f"coalesce(array_contains(json_object_keys({a.sql}), {b.sql}), pg_json_has({a.sql}, {b.sql}))", "bool")
     if op in ("?|", "?&"):
         keys = cast(b, N("type", name="text", mods=[], dims=1), tr) if b.type == "unknown" else b
-        return E(f"{'exists' if op == '?|' else 'forall'}({keys.sql}, k -> pg_json_has({a.sql}, k))", "bool")
+        return E(f"pg_json_has_{'any' if op == '?|' else 'all'}({a.sql}, {keys.sql})", "bool")
     if op in ("@>", "<@", "&&"):
         array = next((t for t in (ka, kb) if t and t.endswith("[]")), None)
         if array:
@@ -356,6 +359,12 @@ def json_of(x: E) -> str:
     return f"CASE WHEN {x.sql} IS NULL THEN 'null' ELSE substring({inner}, 6, length({inner}) - 6) END"
 
 
+def json_key(sql: str) -> str:
+    """A JSON string of a text."""
+    array = f"to_json(array({sql}))"
+    return f"substring({array}, 2, length({array}) - 2)"
+
+
 def json_get(j: E, key: E, text: bool = False) -> E:
     """-> and ->>: JVM-side for constant keys."""
     kind = "text" if text else (j.type if j.type in ("json", "jsonb") else "jsonb")
@@ -694,7 +703,7 @@ F["row_to_json"] = F["array_to_json"] = lambda x, *_: E(f"to_json({x.sql}, map('
 for _b in ("", "b"):
     _k = f"json{_b}"
     F[f"{_k}_build_array"] = lambda *a, _k=_k: E("concat('[', concat_ws(', ', " + ", ".join(json_of(x) for x in a) + "), ']')" if a else "'[]'", _k, raw=_k == "jsonb")
-    F[f"{_k}_build_object"] = lambda *a, _k=_k: E("concat('{', concat_ws(', ', " + ", ".join(f"concat(to_json(array({as_text(k)})), ' : ', {json_of(v)})".replace("to_json(array(", "pg_json_key(").replace("))", ")", 1) for k, v in zip(a[::2], a[1::2])) + "), '}')" if a else "'{}'", _k, raw=_k == "jsonb")
+    F[f"{_k}_build_object"] = lambda *a, _k=_k: E("concat('{', concat_ws(', ', " + ", ".join(f"concat({json_key(as_text(k))}, ' : ', {json_of(v)})" for k, v in zip(a[::2], a[1::2])) + "), '}')" if a else "'{}'", _k, raw=_k == "jsonb")
     F[f"{_k}_object"] = lambda a, b=None, _k=_k: E(f"pg_json_object({a.sql}, {b.sql if b else 'CAST(NULL AS ARRAY<STRING>)'})", _k, raw=_k == "jsonb")
     F[f"{_k}_typeof"] = lambda j: E(f"pg_json_typeof({j.sql})", "text")
     F[f"{_k}_array_length"] = lambda j: E(f"coalesce(json_array_length({j.sql}), CASE WHEN {j.sql} IS NOT NULL THEN CAST(raise_error('22023: cannot get array length of a non-array') AS INT) END)", "int4")
@@ -734,7 +743,7 @@ def _array_position(a: E, x: E, start: E | None = None, tr: Any = None) -> E:
 
 F["array_fill"] = lambda x, d, *_, tr=None: E(f"array_repeat({x.sql}, get({cast(d, N('type', name='int4', mods=[], dims=1), tr).sql if d.type == 'unknown' else d.sql}, 0))", f"{x.type if x.type != 'unknown' else 'text'}[]")
 F["trim_array"] = lambda a, n: E(f"slice({a.sql}, 1, size({a.sql}) - {n.sql})", a.type)
-F["array_to_string"] = lambda a, s, null=None: E(f"array_join(transform({a.sql}, e -> {as_text(E('e', _elem(a)))}), {s.sql}{', ' + null.sql if null else ''})", "text")
+F["array_to_string"] = lambda a, s, null=None: E(f"array_join(transform({a.sql}, e -> {as_text(E('e', 'float4' if _elem(a) == 'float8' else _elem(a)))}), {s.sql}{', ' + null.sql if null else ''})", "text")
 F["array_shuffle"] = lambda a: E(f"shuffle({a.sql})", a.type)
 F["array_sample"] = lambda a, n: E(f"slice(shuffle({a.sql}), 1, {n.sql})", a.type)
 
@@ -900,9 +909,9 @@ def aggregate(name: str, args: list[E], star: bool, distinct: bool, order: list[
         case "json_object_agg" | "jsonb_object_agg":
             kind = name.split("_")[0]
             v = args[1]
-            pair = f"named_struct('k', coalesce({as_text(x)}, raise_error('22004: field name must not be null')), 'x', {json_of(v)})"
+            pair = f"named_struct('k', {as_text(x)}, 'x', {json_of(v)})"
             rows = _collected(pair, order, False, tail)
-            return E(f"CASE WHEN count(*){tail} > 0 THEN concat('{{ ', array_join(transform({rows}, e -> concat(pg_json_key(e.k), ' : ', e.x)), ', '), ' }}') END", kind, raw=kind == "jsonb")
+            return E(f"CASE WHEN count(*){tail} > 0 THEN concat('{{ ', array_join(transform({rows}, e -> concat({json_key('e.k')}, ' : ', e.x)), ', '), ' }}') END", kind, raw=kind == "jsonb")
         case "variance" | "stddev":
             return E(one({"variance": "var_samp", "stddev": "stddev_samp"}[name], f"CAST({x.sql} AS DOUBLE)"), "float8")
         case "var_samp" | "var_pop" | "stddev_samp" | "stddev_pop":

@@ -391,7 +391,7 @@ def _bit_op(op: str, a: str, b: str) -> str:
 
 #: name: (function, result type). Every one is strict unless listed in _LAX.
 UDFS: dict[str, tuple[Callable, str]] = {
-    "jsonb": (jsonb_text, "string"), "json_path": (json_path, "string"), "json_has": (_json_has, "boolean"), "json_key": (lambda s: json.dumps(s, ensure_ascii=False), "string"), "json_typeof": (lambda j: _typeof(_loads(j)), "string"),
+    "jsonb": (jsonb_text, "string"), "json_path": (json_path, "string"), "json_has": (_json_has, "boolean"), "json_has_any": (lambda j, ks: any(_json_has(j, k) for k in ks), "boolean"), "json_has_all": (lambda j, ks: all(_json_has(j, k) for k in ks), "boolean"), "json_typeof": (lambda j: _typeof(_loads(j)), "string"),
     "jsonb_contains": (lambda a, b: contains(_loads(a), _loads(b)), "boolean"), "jsonb_concat": (_jsonb_concat, "string"), "jsonb_delete": (_jsonb_delete, "string"),
     "jsonb_delete_keys": (lambda j, ks: jsonb_value({k: v for k, v in x.items() if k not in ks} if isinstance(x := _loads(j), dict) else [v for v in x if v not in ks]), "string"),
     "jsonb_delete_path": (lambda j, p: jsonb_value(json_delete(_loads(j), p)), "string"), "jsonb_set": (lambda j, p, v, c: jsonb_value(json_set(_loads(j), p, _loads(v), c)), "string"), "jsonb_set_lax": (_set_lax, "string"),
