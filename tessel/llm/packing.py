@@ -13,6 +13,7 @@ partition, plus the counts of the partitions before it) is looked up in the plan
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tessel.llm.shared import arrow_map, written
 
 #: Words that a worker keeps the ids of (about 200 bytes each, twice).
-KNOWN = 700_000
+KNOWN = 1_200_000
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -109,7 +110,7 @@ def rounded(use: dict[tuple[tuple[int, int], ...], float], share: float, left: d
     return plan + best_fit(left, size)
 
 
-def planned(histogram: dict[int, int], size: int = 2048, rounds: int = 700, rate: float = 1.0) -> Plan:
+def planned(histogram: dict[int, int], size: int = 2048, rounds: int = 400, rate: float = 1.0) -> Plan:
     """(lengths of a sequence, how many such sequences): together they hold each length as often as the histogram."""
     left = {int(k): int(n) for k, n in histogram.items() if n > 0}
     plan: Plan = []
@@ -199,7 +200,11 @@ class _Encoder:
         for t in texts:
             cut = t.replace("\n", " ").split(" ")
             ids = list(map(get, cut))
-            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            holes, i = [], -1
+            with contextlib.suppress(ValueError):
+                while True:
+                    i = ids.index(None, i + 1)
+                    holes.append(i)
             new = [cut[i] for i in holes]
             if new:
                 (plain if self._is_plain(t) else odd).update(new)
