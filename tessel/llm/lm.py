@@ -255,16 +255,20 @@ def fit(docs: DataFrame, text: str = "text", part: Column | None = None, s: Sett
 def class_log10(p: dict, a: np.ndarray, at: np.ndarray, block: int = 2048) -> np.ndarray:
     """log10 P(class | context) at the given positions; normalised over all classes."""
     parts = [p["R"] * c for c in p["C"]]
-    qt, out = np.ascontiguousarray(p["Q"].T), np.empty(len(at))
+    qt = np.concatenate([p["Q"].T, p["b"][None]]).astype(np.float32)  # the bias is one more dimension, in which q is 1
+    out, q = np.empty(len(at)), np.ones((block, len(qt)), np.float32)
     for i in range(0, len(at), block):
         x = at[i : i + block]
-        q = sum(t[a[x - 1 - j]] for j, t in enumerate(parts))
-        scores = q @ qt
-        scores += p["b"]
+        q[: len(x), :-1] = sum(t[a[x - 1 - j]] for j, t in enumerate(parts))
+        scores = q[: len(x)] @ qt
         own = scores[np.arange(len(x)), a[x]]
-        top = scores.max() if abs(scores).max() > 60 else np.float32(0)
-        np.exp(scores - top if top else scores, out=scores)
-        out[i : i + block] = own - top - np.log(scores.sum(1))
+        with np.errstate(over="ignore"):
+            total = np.exp(scores).sum(1)
+        if np.isfinite(total).all() and total.min() > 0:
+            out[i : i + block] = own - np.log(total)
+        else:  # scores too large for a plain exponential
+            top = scores.max(1)
+            out[i : i + block] = own - top - np.log(np.exp(scores - top[:, None]).sum(1))
     return out / math.log(10)
 
 
@@ -280,9 +284,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     kinds = np.array([classes.of(w) for w, _ in head], np.int32)
     params, inside = model.params, model.inside
     end = classes.own[END]
-    if END not in index:
-        index[END], logc, kinds = len(head), np.append(logc, -1.0), np.append(kinds, np.int32(end))
-    known_head = len(head)
+    logc, kinds = np.append(logc, 0.0), np.append(kinds, np.int32(end))  # the last stands for words outside the head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, ids = index.get, _ClassIds(classes)
@@ -297,7 +299,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                     for i in np.flatnonzero(found < 0):
                         k[i] = ids[words[i]]
                     there = found[found >= 0]
-                    sums.append((len(words), int((there < known_head).sum()), float(logc[there].sum()), float(inside[k].sum())))
+                    sums.append((len(words), len(there), float(logc[there].sum()), float(inside[k].sum())))
                     tails.append([{"word": w, "n": n} for w, n in tail.items()])
                     flat.append(np.full(s.context, end, np.int32))
                     flat.append(k)
