@@ -928,12 +928,13 @@ class Parser:
         query = None if self.take("default", "values") else self.query()
         conflict = None
         if self.take("on", "conflict"):
-            keys, name, where = [], None, None
+            keys, name = [], None
             if self.take("on", "constraint"):
                 name = self.name()
             elif self.op("("):
                 keys = self.names()
-                where = self.expr() if self.take("where") else None
+                if self.take("where"):  # a partial index: its predicate only chooses the arbiter
+                    self.expr()
             self.need("do")
             if self.take("nothing"):
                 conflict = N("conflict", keys=keys, constraint=name, sets=None, where=None)
@@ -941,7 +942,6 @@ class Parser:
                 self.need("update", "set")
                 sets = self.listed(self.assignment)
                 conflict = N("conflict", keys=keys, constraint=name, sets=sets, where=self.expr() if self.take("where") else None)
-            del where
         return N("insert", path=path, alias=alias, columns=cols, overriding=overriding, query=query, conflict=conflict)
 
     def assignment(self) -> tuple[list[str], N]:
@@ -976,8 +976,7 @@ class Parser:
     def st_create(self) -> N:
         replace = self.take("or", "replace")
         temp = self.take("temporary") or self.take("temp") or self.take("unlogged")
-        recursive = self.take("recursive")
-        del recursive
+        self.take("recursive")
         if self.take("table"):
             return self.create_table(bool(temp))
         if self.take("view"):

@@ -785,6 +785,7 @@ F["tsvector_length"] = lambda v: E(f"pg_ts_length({v.sql})", "int4")
 # constants
 F["uuid_extract_version"] = lambda u: E(f"CAST(conv(substring({u.sql}, 15, 1), 16, 10) AS SMALLINT)", "int2")
 F["pg_size_pretty"] = lambda n: E(f"CASE WHEN abs({n.sql}) < 10240 THEN concat({n.sql}, ' bytes') WHEN abs({n.sql}) < 10485760 THEN concat(CAST(round({n.sql} / 1024) AS BIGINT), ' kB') WHEN abs({n.sql}) < 10737418240 THEN concat(CAST(round({n.sql} / 1048576) AS BIGINT), ' MB') ELSE concat(CAST(round({n.sql} / 1073741824) AS BIGINT), ' GB') END", "text")
+F["pg_column_size"] = lambda x: E(f"octet_length({as_text(x)})", "int4")
 F["pg_typeof"] = lambda x: E(quoted(ty.DISPLAY.get((x.type or "text").removesuffix("[]"), (x.type or "text").removesuffix("[]")) + ("[]" if (x.type or "").endswith("[]") else "")), "regtype")
 for _names, _sql, _kind in (
     ("pg_get_expr obj_description col_description shobj_description inet_client_addr inet_server_addr", "CAST(NULL AS STRING)", "text"),

@@ -115,7 +115,7 @@ def _quote(w: str) -> str:
 
 
 def _show(v: Vector) -> str:
-    return " ".join(_quote(w) + (":" + ",".join(f"{p}{x if x != 'D' else ''}" for p, x in v[w]) if v[w] else "") for w in sorted(v, key=lambda x: (len(x.encode()), x.encode()) if False else x.encode()))
+    return " ".join(_quote(w) + (":" + ",".join(f"{p}{x if x != 'D' else ''}" for p, x in v[w]) if v[w] else "") for w in sorted(v, key=str.encode))
 
 
 def parse_vector(s: str) -> Vector:

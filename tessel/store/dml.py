@@ -31,7 +31,7 @@ def assigned(x: E, kind: str | None, mods: list[int], tr: Translator) -> str:
 
 def _typed(t: Table, name: str) -> str:
     kind = dict(t.cols)[name]
-    return ty.spark_type(kind if kind not in () else "text", t.mods.get(name))
+    return ty.spark_type(kind, t.mods.get(name))
 
 
 def _default(session: Any, t: Table, name: str, tr: Translator, serial: str | None) -> str:
@@ -63,10 +63,8 @@ def insert(session: Any, n: N, tr: Translator) -> tuple[int, DataFrame | None]:
     for c in target:
         if c not in t.names():
             raise SqlError("42703", f'column "{c}" of relation "{t.name}" does not exist')
-        if c in t.generated:
-            target_default = n.query is not None and n.query.kind == "values" and n.columns == []
-            if n.columns and not target_default:
-                raise SqlError("428C9", f'cannot insert a non-DEFAULT value into column "{c}"')
+        if c in t.generated and n.columns:
+            raise SqlError("428C9", f'cannot insert a non-DEFAULT value into column "{c}"')
     given: list[str] = []
     parts: list[str] = []
     serials = {c: s for c, s in t.sequences.items()}
@@ -110,7 +108,7 @@ def insert(session: Any, n: N, tr: Translator) -> tuple[int, DataFrame | None]:
             else:
                 out.append(f"CAST({_default(session, t, c, tr, None)} AS {_typed(t, c)}) AS {tick(c)}")
         parts.append(f"SELECT {', '.join(out)} {from_sql if from_sql.startswith('FROM') else ''}")
-    new = stored(_frame(session, head + " UNION ALL ".join(parts) if not head else head + " UNION ALL ".join(parts)))
+    new = stored(_frame(session, head + " UNION ALL ".join(parts)))
     for c, s in serials.items():  # rows of a query: numbers in bulk; a sequence may have gaps
         if any(f.startswith("FROM") and c not in cells for f, cells in sources):
             count = new.count()
@@ -131,7 +129,7 @@ def insert(session: Any, n: N, tr: Translator) -> tuple[int, DataFrame | None]:
     base = t.df
     if n.conflict is not None:
         base, new, touched = _conflict(session, t, n, base, new, tr)
-    version = stored(base.unionByName(new)) if n.conflict is not None or True else base.unionByName(new)
+    version = stored(base.unionByName(new))
     touched = stored(touched)
     changed = t.but(df=version)
     check(session, changed, tr, n.path)
@@ -319,8 +317,7 @@ def check(session: Any, t: Table, tr: Translator, path: list[str], referenced: b
             if not some.join(parent.df.select(*to), to, "left_anti").isEmpty():
                 raise SqlError("23503", f'insert or update on table "{t.name}" violates foreign key constraint "{c.name}"')
     if referenced:
-        for where, child, fk in children(session, t.name):
-            del where
+        for _, child, fk in children(session, t.name):
             check(session, child.but(constraints=[fk], not_null=set()), tr, path)
 
 
