@@ -44,14 +44,10 @@ def tidied(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    root = scratch_dir(spark) + "/tessel/"
-    for d in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if root.split(":", 1)[-1].lstrip("/") in d:
-            path = spark._jvm.org.apache.hadoop.fs.Path(d)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables that written() has made under this folder. To be called when results have been consumed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark) + "/tessel")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
