@@ -1,8 +1,9 @@
 """Mixing documents to target weights, with soft membership in domains, in DataFrame functions only.
 
 A labelled table names the domain of some documents. A classifier learns from it: the class means and the pooled variances
-of a few features of the text give posteriors for all documents (a linear discriminant with diagonal covariance). One
-feature is learned too: the largest log-odds, among a text's words, of a hashed word for each domain against the others.
+of a of a few features of the text give posteriors for all documents (a linear discriminant with diagonal covariance). Some
+features are learned too: for each domain, how many words of its lexicon a text has. A lexicon holds the words that
+documents of the domain have far more often than others, the most telling first.
 
 The rates w of documents are the nonnegative solution of least squares between the expected token total of every domain,
 sum_i w_i l_i p_ik, and its target T_k, with a slight ridge towards rates of 1. Projected gradient: with the residuals
@@ -27,12 +28,12 @@ from tessel.llm.shared import written
 
 @dataclass
 class Settings:
-    """sample: labelled documents that the classifier learns from, at most; buckets: of the hashed words; tolerance: of a
+    """sample: labelled documents that the classifier learns from, at most; lexicon: words of a domain at most; tolerance: of a
     domain's total, as a share of all tokens; ridge: pull of the rates to 1, which bounds them where a domain that has
     hardly any tokens has a target."""
 
     sample: int = 8000
-    buckets: int = 8192
+    lexicon: int = 300
     iterations: int = 25
     tolerance: float = 1e-7
     ridge: float = 1e-4
@@ -43,8 +44,9 @@ def _numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
-def _bucket(word: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(n)).cast("int")
+def _letters(text: Column) -> Column:
+    """Runs of letters, in lower case; ASCII characters of other kinds separate them."""
+    return F.split(F.lower(text), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 @dataclass
@@ -53,26 +55,23 @@ class Classifier:
     prior: list[float]
     means: list[list[float]]  # by domain, then feature
     variances: list[float]
-    odds: list[list[float]]  # by domain, then bucket
-    buckets: int
+    lexicons: list[list[str]]  # by domain
 
     def _features(self, w: Column, text: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1)).cast("double")
         length = F.greatest(F.length(text), F.lit(1)).cast("double")
 
-        def largest(buckets: Column, odds: list[float]) -> Column:
-            return F.coalesce(F.array_max(F.transform(buckets, lambda b: F.get(_numbers(odds), b))), F.lit(0.0))
+        def learned(letters: Column) -> Column:
+            hits = [F.log1p(F.size(F.array_intersect(letters, F.split(F.lit(" ".join(words)), " "))).cast("double")) if words else F.lit(0.0) for words in self.lexicons]
+            return F.array(F.size(F.array_distinct(letters)) / n, *hits)
 
-        def learned(buckets: Column) -> Column:
-            return F.array(F.size(buckets) / n, *[largest(buckets, o) for o in self.odds])
-
-        hashed = let(F.array_distinct(F.transform(w, lambda x: _bucket(x, self.buckets))), learned)
-        return F.concat(F.array(
+        shape = F.array(
             F.log1p(F.size(w).cast("double")),
             F.least(length / n, F.lit(40.0)),
             F.least(F.length(F.regexp_replace(text, r"[^#*$%&|<>!]+", "")) / n, F.lit(3.0)),
             F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / length,
-        ), hashed)
+        )
+        return F.concat(shape, let(_letters(text), learned))
 
     def described(self, text: Column) -> Column:
         """struct(tokens, f): the words of the text and its features. Null text is empty."""
@@ -103,26 +102,22 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str =
     some = written(docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k").select("domain", "t"), "mix-sample")
     n = {r[0]: r[1] for r in some.groupBy("domain").count().collect()}
     total = sum(n.values())
-    hits = some.select("domain", F.explode(F.array_distinct(F.transform(words(F.col("t")), lambda w: _bucket(w, s.buckets)))).alias("b")).groupBy("domain", "b").count().collect()
-    df: dict[str, dict[int, int]] = {d: {} for d in domains}
-    for d, b, c in hits:
-        df[d][b] = c
-    every = [sum(df[d].get(b, 0) for d in domains) for b in range(s.buckets)]
-    odds = []
-    for d in domains:
-        a, rest, row = n.get(d, 0), total - n.get(d, 0), []
-        for b in range(s.buckets):
-            base = (every[b] + 0.5) / (total + 1)
-            row.append(_log((df[d].get(b, 0) + 4 * base) / (a + 4)) - _log((every[b] - df[d].get(b, 0) + 4 * base) / (rest + 4)))
-        odds.append(row)
-    bare = Classifier(domains, [], [], [], odds, s.buckets)
+    seen = some.select("domain", F.explode(F.array_distinct(_letters(F.col("t")))).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("every"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"d{j}") for j, d in enumerate(domains)])
+    seen = written(seen.filter("every >= 4"), "mix-words")
+    lexicons = []
+    for j, d in enumerate(domains):
+        own, rest = F.col(f"d{j}"), F.col("every") - F.col(f"d{j}")
+        odds = F.log((own + 0.5) / F.lit(n.get(d, 0) + 1.0)) - F.log((rest + 0.5) / F.lit(total - n.get(d, 0) + 1.0))
+        best = seen.filter((own >= 4) & (odds >= 1.5)).orderBy((own * odds).desc(), "word").limit(s.lexicon)
+        lexicons.append([r[0] for r in best.select("word").collect()])
+    bare = Classifier(domains, [], [], [], lexicons)
     parts = some.select("domain", bare.described(F.col("t")).alias("x")).select("domain", *[F.get("x.f", F.lit(j)).alias(f"f{j}") for j in range(5 + len(domains))])
     size = 5 + len(domains)
     got = {r["domain"]: r for r in parts.groupBy("domain").agg(*[F.avg(f"f{j}").alias(f"m{j}") for j in range(size)], *[F.var_pop(f"f{j}").alias(f"v{j}") for j in range(size)]).collect()}
     means = [[got[d][f"m{j}"] if d in got else 0.0 for j in range(size)] for d in domains]
     variances = [max(1e-4, sum(n[d] * got[d][f"v{j}"] for d in got) / total) if total else 1.0 for j in range(size)]
     prior = [n.get(d, 0) / total if total else 1 / len(domains) for d in domains]
-    return Classifier(domains, prior, means, variances, odds, s.buckets)
+    return Classifier(domains, prior, means, variances, lexicons)
 
 
 def rate(p: Column, history: list[list[float]]) -> Column:
