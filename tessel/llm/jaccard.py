@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import arrow_map, in_slices, tidied, words_of, written
+from tessel.llm.shared import arrow_map, in_slices, removed, tidied, words_of, written
 
 #: Bits of a set's parity map.
 BITS = 1024
@@ -199,6 +199,8 @@ def classes(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_i
     reps = full.select("row", "n", "pre").join(_light(copies, copies.count()), "row", "left_anti")
 
     active = written(_active(reps, s).join(of_class.select("row", "doc_id", "fp", "n"), "row"), "jaccard-active")
+    removed(rows)  # its prefixes have served
+    del rows, full, reps
     sets = written(sets_of(docs, active, active.count(), s, text, doc_id), "jaccard-sets")
     tidied(docs.sparkSession)
     keys = written(_keys(sets, active.select("row", "n"), s), "jaccard-keys")  # tok, row, n, s

@@ -35,7 +35,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes a table that written() made and nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidied(spark: SparkSession) -> None:
