@@ -80,7 +80,7 @@ SAME: dict[str, str] = {
     "group_null_group": "SELECT NULLIF(n_regionkey, 2) AS k, count(*) AS n FROM nation GROUP BY 1",
     # windows
     "win_row_number": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem",
-    "win_rank_family": "SELECT l_orderkey, l_linenumber, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)",
+    "win_rank_family": "SELECT l_orderkey, l_linenumber, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 9)::float8 AS p, round(cume_dist() OVER w, 9)::float8 AS c FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)",
     "win_lag_lead": "SELECT event_id, lag(event_type) OVER w AS p, lead(event_type, 2, 'none') OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "win_first_last_nth": "SELECT event_id, first_value(event_id) OVER w AS f, last_value(event_id) OVER w AS l, nth_value(event_id, 2) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
     "win_rows_frame": "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS n FROM events",
@@ -108,19 +108,19 @@ SAME: dict[str, str] = {
     "cte_recursive_series": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t",
     "cte_recursive_graph": "WITH RECURSIVE e(src, dst) AS (SELECT n_nationkey, (n_nationkey * 7 + 3) % 25 FROM nation), r(x) AS (SELECT 1 UNION SELECT dst FROM e JOIN r ON src = x) SELECT x FROM r",
     # functions
-    "fn_str_basic": "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, length(n_name) AS n, reverse(n_name) AS r, repeat(left(n_name, 2), 2) AS p, replace(n_name, 'A', '-') AS x, lpad(n_name, 4, '*') AS lp, rpad(n_name, 20, '.') AS rp FROM nation",
-    "fn_str_parts": "SELECT n_nationkey, left(n_name, -2) AS a, right(n_name, 3) AS b, substring(n_name, 2, 3) AS c, strpos(n_name, 'A') AS d, split_part(n_name, '_', 1) AS e, translate(n_name, 'AEI', 'aei') AS f, trim(both 'A' from n_name) AS g, concat(n_name, NULL, '!') AS h, concat_ws('-', n_name, NULL, 'z') AS i FROM nation",
+    "fn_str_basic": "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, length(n_name)::int AS n, reverse(n_name) AS r, repeat(left(n_name, 2), 2) AS p, replace(n_name, 'A', '-') AS x, lpad(n_name, 4, '*') AS lp, rpad(n_name, 20, '.') AS rp FROM nation",
+    "fn_str_parts": "SELECT n_nationkey, left(n_name, -2) AS a, right(n_name, 3) AS b, substring(n_name, 2, 3) AS c, strpos(n_name, 'A')::int AS d, split_part(n_name, '_', 1) AS e, translate(n_name, 'AEI', 'aei') AS f, trim(both 'A' from n_name) AS g, concat(n_name, NULL, '!') AS h, concat_ws('-', n_name, NULL, 'z') AS i FROM nation",
     "fn_regex": "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '#', 'g') AS a, regexp_replace(p_name, '[aeiou]', '#') AS b, p_name ~ '^[a-m]' AS c FROM part",
-    "fn_math_basic": "SELECT l_orderkey, l_linenumber, abs(-l_quantity) AS a, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, sign(l_discount - 0.05) AS s, round(sqrt(l_quantity), 9) AS q, round(ln(l_quantity), 9) AS n, round(power(l_quantity, 2), 6) AS p FROM lineitem WHERE abs(l_discount - 0.05) > 0.001",
-    "fn_math_trig": "SELECT n_nationkey, round(sin(n_nationkey), 9) AS s, round(cos(n_nationkey), 9) AS c, round(atan2(n_nationkey, 3), 9) AS a, round(degrees(n_nationkey), 6) AS d, round(radians(n_nationkey), 9) AS r, round(exp(n_regionkey), 6) AS e, round(cbrt(n_nationkey), 9) AS b, gcd(n_nationkey, 12) AS g, lcm(n_nationkey, 6) AS l FROM nation",
+    "fn_math_basic": "SELECT l_orderkey, l_linenumber, abs(-l_quantity) AS a, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, sign(l_discount - 0.05)::float8 AS s, round(sqrt(l_quantity), 9)::float8 AS q, round(ln(l_quantity), 9)::float8 AS n, round(power(l_quantity, 2), 6)::float8 AS p FROM lineitem WHERE abs(l_discount - 0.05) > 0.001",
+    "fn_math_trig": "SELECT n_nationkey, round(sin(n_nationkey), 9)::float8 AS s, round(cos(n_nationkey), 9)::float8 AS c, round(atan2(n_nationkey, 3), 9)::float8 AS a, round(degrees(n_nationkey), 6)::float8 AS d, round(radians(n_nationkey), 9)::float8 AS r, round(exp(n_regionkey), 6)::float8 AS e, round(cbrt(n_nationkey), 9)::float8 AS b, gcd(n_nationkey, 12)::int AS g, lcm(n_nationkey, 6)::int AS l FROM nation",
     "fn_math_integers": "SELECT n_nationkey, n_nationkey % 7 AS m, mod(n_nationkey, 4) AS o, -n_nationkey AS n FROM nation",
     "fn_date_trunc": "SELECT o_orderkey, date_trunc('month', o_orderdate) AS m, date_trunc('week', o_orderdate) AS w, date_trunc('quarter', o_orderdate) AS q, date_trunc('decade', o_orderdate) AS d FROM orders",
-    "fn_date_arithmetic": "SELECT o_orderkey, o_orderdate + INTERVAL '1 month' AS a, o_orderdate - INTERVAL '2 days' AS b, o_orderdate::date + 5 AS c, o_orderdate::date - DATE '1995-01-01' AS d FROM orders",
+    "fn_date_arithmetic": "SELECT o_orderkey, o_orderdate + INTERVAL '1 month' AS a, o_orderdate - INTERVAL '2 days' AS b, o_orderdate::date + 5 AS c, (o_orderdate::date - DATE '1995-01-01')::int AS d FROM orders",
     "fn_json_text": "SELECT event_id, props::json ->> 'k' AS k FROM events",
     # table functions
-    "srf_generate_series": "SELECT g AS x FROM generate_series(3, 21, 3) AS t(g)",
-    "srf_series_descending": "SELECT g AS x FROM generate_series(10, 1, -4) AS t(g)",
-    "srf_series_empty": "SELECT g AS x FROM generate_series(5, 1) AS t(g)",
+    "srf_generate_series": "SELECT g::int AS x FROM generate_series(3, 21, 3) AS t(g)",
+    "srf_series_descending": "SELECT g::int AS x FROM generate_series(10, 1, -4) AS t(g)",
+    "srf_series_empty": "SELECT g::int AS x FROM generate_series(5, 1) AS t(g)",
     "srf_series_dates": "SELECT g AS d FROM generate_series(TIMESTAMP '2024-01-30', TIMESTAMP '2024-02-03', INTERVAL '1 day') AS t(g)",
     "srf_unnest": "SELECT label, count(*) AS n FROM (SELECT label, unnest(embedding) AS v FROM embeddings) t WHERE v > 0 GROUP BY label",
     "srf_unnest_ordinality": "SELECT x, o FROM unnest(ARRAY['a', 'b', 'c']) WITH ORDINALITY AS t(x, o)",
@@ -131,14 +131,14 @@ SAME: dict[str, str] = {
 
 #: name: (text of the dialect, text of the oracle).
 PAIRS: dict[str, tuple[str, str]] = {
-    "fn_str_codes": ("SELECT n_nationkey, ascii(n_name) AS a, md5(n_name) AS m, to_hex(n_nationkey) AS h, chr(65 + n_nationkey) AS c, bit_length(n_name) AS b, starts_with(n_name, 'A') AS s FROM nation", "SELECT n_nationkey, ascii(n_name) AS a, md5(n_name) AS m, lower(to_hex(n_nationkey)) AS h, chr(65 + n_nationkey) AS c, bit_length(n_name) AS b, starts_with(n_name, 'A') AS s FROM nation"),
-    "fn_arr_basic": ("SELECT n_nationkey, array_length(ARRAY[n_nationkey, 2, 3], 1) AS l, (ARRAY[n_nationkey, 7, 9])[1] AS f, array_to_string(ARRAY[n_nationkey, 5] || 6, ',') AS j FROM nation", "SELECT n_nationkey, array_length(ARRAY[n_nationkey, 2, 3], 1) AS l, (ARRAY[n_nationkey, 7, 9])[1] AS f, array_to_string(ARRAY[n_nationkey, 5] || ARRAY[6], ',') AS j FROM nation"),
+    "fn_str_codes": ("SELECT n_nationkey, ascii(n_name) AS a, md5(n_name) AS m, to_hex(n_nationkey) AS h, chr(65 + n_nationkey) AS c, bit_length(n_name)::int AS b, starts_with(n_name, 'A') AS s FROM nation", "SELECT n_nationkey, ascii(n_name) AS a, md5(n_name) AS m, lower(to_hex(n_nationkey)) AS h, chr(65 + n_nationkey) AS c, bit_length(n_name)::int AS b, starts_with(n_name, 'A') AS s FROM nation"),
+    "fn_arr_basic": ("SELECT n_nationkey, array_length(ARRAY[n_nationkey, 2, 3], 1)::int AS l, (ARRAY[n_nationkey, 7, 9])[1] AS f, array_to_string(ARRAY[n_nationkey, 5] || 6, ',') AS j FROM nation", "SELECT n_nationkey, array_length(ARRAY[n_nationkey, 2, 3], 1)::int AS l, (ARRAY[n_nationkey, 7, 9])[1] AS f, array_to_string(ARRAY[n_nationkey, 5] || ARRAY[6], ',') AS j FROM nation"),
     "flagship_top_spenders": tuple(
         "SELECT c.c_custkey, c.c_name, round(sum((l.l_extendedprice * (1 - l.l_discount))::{0}), 2)::float8 AS total FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F' GROUP BY c.c_custkey, c.c_name ORDER BY total DESC, c.c_custkey LIMIT 20".format(t) for t in ("numeric(18,4)", "decimal(18,4)")),
-    "agg_basic": tuple(f"SELECT l_returnflag, l_linestatus, sum(l_linenumber){c} AS s, count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_extendedprice), 4) AS a, min(l_tax) AS mi, max(l_tax) AS ma FROM lineitem GROUP BY l_returnflag, l_linestatus" for c in ("", "::bigint")),
-    "agg_stats": tuple("SELECT l_returnflag, " + ", ".join(f"round({f}(l_quantity), 6) AS {f}_q" for f in fs) + " FROM lineitem GROUP BY l_returnflag" for fs in [("variance", "var_samp", "var_pop", "stddev", "stddev_samp", "stddev_pop")] * 2),
-    "agg_regr": tuple("SELECT " + ", ".join(f"round({f}(l_extendedprice, l_quantity), 4) AS {f}_v" for f in "corr covar_pop covar_samp regr_slope regr_intercept regr_r2 regr_avgx regr_avgy regr_sxx regr_syy regr_sxy".split()) + ", regr_count(l_extendedprice, l_quantity)::bigint AS n FROM lineitem WHERE l_orderkey < 2000" for _ in range(2)),
-    "agg_int_avg": ("SELECT n_regionkey, round(avg(n_nationkey), 6)::float8 AS a FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, round(avg(n_nationkey), 6) AS a FROM nation GROUP BY n_regionkey"),
+    "agg_basic": tuple(f"SELECT l_returnflag, l_linestatus, sum(l_linenumber){c} AS s, count(*) AS n, round(sum(l_quantity), 2)::float8 AS q, round(avg(l_extendedprice), 4)::float8 AS a, min(l_tax) AS mi, max(l_tax) AS ma FROM lineitem GROUP BY l_returnflag, l_linestatus" for c in ("", "::bigint")),
+    "agg_stats": tuple("SELECT l_returnflag, " + ", ".join(f"round({f}(l_quantity), 6)::float8 AS {f}_q" for f in fs) + " FROM lineitem GROUP BY l_returnflag" for fs in [("variance", "var_samp", "var_pop", "stddev", "stddev_samp", "stddev_pop")] * 2),
+    "agg_regr": tuple("SELECT " + ", ".join(f"round({f}(l_extendedprice, l_quantity), 4)::float8 AS {f}_v" for f in "corr covar_pop covar_samp regr_slope regr_intercept regr_r2 regr_avgx regr_avgy regr_sxx regr_syy regr_sxy".split()) + ", regr_count(l_extendedprice, l_quantity)::bigint AS n FROM lineitem WHERE l_orderkey < 2000" for _ in range(2)),
+    "agg_int_avg": ("SELECT n_regionkey, round(avg(n_nationkey), 6)::float8 AS a FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, round(avg(n_nationkey), 6)::float8 AS a FROM nation GROUP BY n_regionkey"),
     "agg_json": ("SELECT n_regionkey, replace(json_agg(n_nationkey ORDER BY n_nationkey)::text, ' ', '') AS j FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(n_nationkey::text, ',' ORDER BY n_nationkey) || ']' AS j FROM nation GROUP BY n_regionkey"),
     "agg_json_object": ("SELECT r_regionkey, replace(jsonb_object_agg(r_name, r_regionkey)::text, ' ', '') AS j FROM region GROUP BY r_regionkey", "SELECT r_regionkey, '{\"' || replace(r_name, ' ', '') || '\":' || r_regionkey || '}' AS j FROM region"),
     "group_grouping_id": tuple(f"SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus){c} AS g, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)" for c in ("", "::int")),
@@ -156,8 +156,8 @@ PAIRS: dict[str, tuple[str, str]] = {
     "fn_str_overlay": ("SELECT overlay('abcdef' PLACING 'XY' FROM 2 FOR 3) AS a, position('c' IN 'abc') AS b, unistr('\\0041') AS c, encode('abc'::bytea, 'hex') AS d, convert_from(decode('616263', 'hex'), 'UTF8') AS e", "SELECT 'aXYef' AS a, CAST(3 AS INT) AS b, 'A' AS c, '616263' AS d, 'abc' AS e"),
     "fn_regex_match": ("SELECT p_partkey, (regexp_match(p_brand, '#(\\d)(\\d)'))[2] AS m, regexp_count(p_name, '[aeiou]') AS n, regexp_instr(p_name, '[aeiou]', 1, 2) AS i, regexp_substr(p_name, '[a-z]+') AS s FROM part", "SELECT p_partkey, nullif(regexp_extract(p_brand, '#(\\d)(\\d)', 2), '') AS m, CAST(len(regexp_extract_all(p_name, '[aeiou]')) AS INT) AS n, CAST(coalesce(nullif(length(regexp_extract(p_name, '^([^aeiou]*[aeiou][^aeiou]*)[aeiou]', 1)), 0) + 1, 0) AS INT) AS i, nullif(regexp_extract(p_name, '[a-z]+'), '') AS s FROM part"),
     "fn_str_to_array": ("SELECT doc_id, cardinality(string_to_array(left(text, 100), ' ')) AS n FROM documents", "SELECT doc_id, CAST(len(string_split(text[1:100], ' ')) AS INT) AS n FROM documents"),
-    "fn_math_round": ("SELECT l_orderkey, l_linenumber, round(l_quantity::numeric / 3, 2)::float8 AS r, trunc(l_quantity / 3) AS t, width_bucket(l_quantity, 0, 50, 10) AS b FROM lineitem", "SELECT l_orderkey, l_linenumber, round(l_quantity / 3, 2) AS r, trunc(l_quantity / 3) AS t, CAST(least(floor(l_quantity / 5) + 1, 11) AS INT) AS b FROM lineitem"),
-    "fn_math_misc": ("SELECT factorial(5)::bigint AS f, div(17, 5)::int AS d, log(100) AS l, round(erf(0.5), 6) AS e, sind(30) AS s, num_nulls(1, NULL, 3) AS n", "SELECT CAST(120 AS BIGINT) AS f, CAST(3 AS INT) AS d, CAST(2 AS DOUBLE) AS l, 0.5205::double AS e, CAST(0.5 AS DOUBLE) AS s, CAST(1 AS INT) AS n"),
+    "fn_math_round": ("SELECT l_orderkey, l_linenumber, round(l_quantity::numeric / 3, 2)::float8 AS r, trunc(l_quantity / 3) AS t, width_bucket(l_quantity, 0, 50, 10) AS b FROM lineitem", "SELECT l_orderkey, l_linenumber, round(l_quantity / 3, 2)::float8 AS r, trunc(l_quantity / 3) AS t, CAST(least(floor(l_quantity / 5) + 1, 11) AS INT) AS b FROM lineitem"),
+    "fn_math_misc": ("SELECT factorial(5)::bigint AS f, div(17, 5)::int AS d, log(100) AS l, round(erf(0.5), 6)::float8 AS e, sind(30) AS s, num_nulls(1, NULL, 3) AS n", "SELECT CAST(120 AS BIGINT) AS f, CAST(3 AS INT) AS d, CAST(2 AS DOUBLE) AS l, 0.5205::double AS e, CAST(0.5 AS DOUBLE) AS s, CAST(1 AS INT) AS n"),
     "fn_date_extract": ("SELECT o_orderkey, extract(dow FROM o_orderdate)::int AS w, extract(isodow FROM o_orderdate)::int AS i, extract(doy FROM o_orderdate)::int AS y, extract(week FROM o_orderdate)::int AS k, extract(quarter FROM o_orderdate)::int AS q, extract(century FROM o_orderdate)::int AS c, extract(epoch FROM o_orderdate)::bigint AS e FROM orders", "SELECT o_orderkey, extract(dow FROM o_orderdate)::int AS w, extract(isodow FROM o_orderdate)::int AS i, extract(doy FROM o_orderdate)::int AS y, extract(week FROM o_orderdate)::int AS k, extract(quarter FROM o_orderdate)::int AS q, extract(century FROM o_orderdate)::int AS c, epoch(o_orderdate)::bigint AS e FROM orders"),
     "fn_date_make": ("SELECT make_date(2024, 2, 29) AS d, make_timestamp(2024, 2, 29, 1, 2, 3.5) AS t, age(TIMESTAMP '2024-03-15', TIMESTAMP '2023-01-10')::text AS a, to_char(TIMESTAMP '2024-03-05 14:05:06', 'YYYY-MM-DD HH24:MI Mon') AS c, to_date('05/03/2024', 'DD/MM/YYYY') AS e, justify_days(INTERVAL '40 days')::text AS j", "SELECT DATE '2024-02-29' AS d, TIMESTAMP '2024-02-29 01:02:03.5' AS t, '1 year 2 mons 5 days' AS a, '2024-03-05 14:05 Mar' AS c, DATE '2024-03-05' AS e, '1 mon 10 days' AS j"),
     "fn_date_bin": ("SELECT event_id, date_bin('15 minutes', ts, TIMESTAMP '2020-01-01') AS b FROM events", "SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2020-01-01') AS b FROM events"),
