@@ -6,6 +6,7 @@ Money is in doubles, so sums are rounded; integers that the oracle widens are ca
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -202,19 +203,20 @@ SCRIPTS: dict[str, tuple[str, str, str]] = {
 }
 
 
-def opened(spark: SparkSession, directory: str) -> Session:
+def opened(spark: SparkSession, directory: str, text: str | None = None) -> Session:
+    """A session over the tables of a directory; only those that the text names are opened, if one is given."""
     s = Session(spark)
-    s.register_parquet(directory, *TABLES)
+    s.register_parquet(directory, *[t for t in TABLES if text is None or re.search(rf"\b{t}\b", text)])
     return s
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, directory: opened(spark, directory).sql(text)
+    return lambda spark, directory: opened(spark, directory, text).sql(text)
 
 
 def _scripted(script: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        s = opened(spark, directory)
+        s = opened(spark, directory, script + text)
         s.execute(script)
         return s.sql(text)
 
