@@ -216,7 +216,7 @@ def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _scripted(script: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        s = opened(spark, directory, script + text)
+        s = opened(spark, directory, f"{script}; {text}")
         s.execute(script)
         return s.sql(text)
 
