@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tessel.llm import cnn, jaccard, mixing, packing, pii
 from tessel.llm.shared import remainder, table, written
 
-#: Shares of all tokens in the mix. Sound documents get rates of 1 or more, so none of them is lost.
+#: Shares of all tokens in the mix. A corpus with less toxic text than this keeps its shares. Sound documents have rates of 1
+#: or more, so none of them is lost.
 TARGETS = {"sound": 0.96, "toxic": 0.04}
 
 
@@ -37,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, rounded by the hash of its id."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "sound").alias("domain"))
-    fitted, _ = mixing.fitted(docs, labels, TARGETS)
+    fitted, _ = mixing.fitted(docs, labels, TARGETS, whole="sound")
     times = mixing.copies(F.col("_mix.rate"), F.col("doc_id"))
     return fitted.on(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
 

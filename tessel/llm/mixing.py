@@ -120,16 +120,21 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str =
     return Classifier(domains, prior, means, variances, lexicons)
 
 
-def rate(p: Column, history: list[list[float]]) -> Column:
-    """A document's rate: 1, then max(0, w - p . d) for each step d of the history."""
+def rate(p: Column, history: list[list[float]], whole: int | None = None) -> Column:
+    """A document's rate: 1, then max(0, w - p . d) for each step d of the history; max(1, ...) where p[whole] is half or more."""
     w = F.lit(1.0)
+    least = F.lit(0.0) if whole is None else F.when(F.get(p, F.lit(whole)) >= 0.5, 1.0).otherwise(0.0)
     for d in history:
-        w = F.greatest(F.lit(0.0), w - sum(F.get(p, F.lit(j)) * F.lit(float(x)) for j, x in enumerate(d)))
+        w = F.greatest(least, w - sum(F.get(p, F.lit(j)) * F.lit(float(x)) for j, x in enumerate(d)))
     return w
 
 
-def solved(rows: DataFrame, targets: list[float], s: Settings = Settings()) -> tuple[list[list[float]], list[list[float]]]:
-    """(steps, residuals by iteration) for rows (tokens, p). targets: shares of all tokens; they are scaled to sum to 1."""
+def solved(rows: DataFrame, targets: list[float], s: Settings = Settings(), whole: int | None = None) -> tuple[list[list[float]], list[list[float]]]:
+    """(steps, residuals by iteration) for rows (tokens, p). targets: shares of all tokens; they are scaled to sum to 1.
+
+    whole: a domain that loses no document. What is mainly of it has rates of 1 or more, and where another domain has less
+    than its target already, its present share is its target, so it is not raised at the cost of this one.
+    """
     k = len(targets)
     share = np.array(targets) / sum(targets)
     at = lambda j: F.get("p", F.lit(j))
@@ -137,12 +142,16 @@ def solved(rows: DataFrame, targets: list[float], s: Settings = Settings()) -> t
     residuals: list[list[float]] = []
     moved, was = np.zeros(k), np.inf
     for _ in range(s.iterations):
-        now = rows.select(F.col("tokens").cast("double").alias("l"), "p", rate(F.col("p"), steps).alias("w"))
+        now = rows.select(F.col("tokens").cast("double").alias("l"), "p", rate(F.col("p"), steps, whole).alias("w"))
         mass = F.when(F.col("w") > 0, F.col("l")).otherwise(0.0)  # of the documents that a step can move either way
         got = now.agg(F.sum("l"), *[F.sum(F.col("l") * F.col("w") * at(j)) for j in range(k)], *[F.sum(mass * at(i) * at(j)) for i in range(k) for j in range(i, k)]).first()
         if not got[0]:
             return [], []
-        g = np.array(got[1 : 1 + k]) / got[0] - share
+        held = np.array(got[1 : 1 + k]) / got[0]
+        if whole is not None and not residuals:  # all rates are 1: these are the present shares
+            share = np.minimum(share, held)
+            share[whole] += 1 - share.sum()
+        g = held - share
         gram = np.zeros((k, k))
         gram[np.triu_indices(k)] = np.array(got[1 + k :]) / got[0]
         gram += np.triu(gram, 1).T
@@ -169,21 +178,23 @@ class Mix:
     classifier: Classifier
     history: list[list[float]]
     residuals: list[list[float]]
+    whole: int | None = None
 
     def on(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with _mix: struct(tokens, p, rate)."""
         x = self.classifier.described(F.col(text))
-        body: Callable[[Column], Column] = lambda d: let(self.classifier.posteriors(d["f"]), lambda p: F.struct(d["tokens"].alias("tokens"), p.alias("p"), rate(p, self.history).alias("rate")))
+        body: Callable[[Column], Column] = lambda d: let(self.classifier.posteriors(d["f"]), lambda p: F.struct(d["tokens"].alias("tokens"), p.alias("p"), rate(p, self.history, self.whole).alias("rate")))
         return docs.withColumn("_mix", let(x, body))
 
 
-def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> tuple[Mix, DataFrame]:
-    """(mix, a written table of id, tokens, p for all documents)."""
+def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", s: Settings = Settings(), whole: str | None = None) -> tuple[Mix, DataFrame]:
+    """(mix, a written table of id, tokens, p for all documents). whole: the domain that loses no document, if any."""
     classifier = fit(docs, labelled, list(targets), doc_id, text, s)
     thin = Mix(classifier, [], []).on(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t").select("doc_id", "_mix.tokens", "_mix.p")
     thin = written(thin, "mix-rows")
-    history, residuals = solved(thin, list(targets.values()), s)
-    return Mix(classifier, history, residuals), thin
+    kept = None if whole is None else list(targets).index(whole)
+    history, residuals = solved(thin, list(targets.values()), s, kept)
+    return Mix(classifier, history, residuals, kept), thin
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:

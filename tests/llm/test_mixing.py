@@ -51,3 +51,19 @@ def test_no_labels_and_empty_table(spark):
     got = mixing.rates(cases.documents(spark), none, {"a": 1.0, "b": 1.0}).collect()
     assert all(r.p_a == pytest.approx(0.5) and r.rate == pytest.approx(1) for r in got)
     assert mixing.rates(cases.empty(spark), none, {"a": 1.0}).count() == 0
+
+
+@pytest.mark.parametrize("toxic", [0, 3, 60])
+def test_the_whole_domain_loses_no_document(spark, toxic):
+    """Fewer toxic tokens than the target of 0.04, none at all, and more than it."""
+    r = np.random.default_rng(2)
+    q = np.concatenate([r.beta(1, 400, 400), r.beta(40, 2, toxic), r.uniform(0.3, 0.5, 20 if toxic == 60 else 0)])
+    l = r.integers(50, 150, len(q))  # noqa: E741
+    rows = spark.createDataFrame([(int(a), [float(1 - b), float(b)]) for a, b in zip(l, q)], "tokens long, p array<double>")
+    history, residuals = mixing.solved(rows, [0.96, 0.04], whole=0)
+    w = np.array([x[0] for x in rows.select(mixing.rate(F.col("p"), history, 0)).collect()])
+    assert (w[q <= 0.5] >= 1).all() and (w >= 0).all()
+    if (q * l).sum() <= 0.04 * l.sum():
+        assert w == pytest.approx(1)
+    else:
+        assert (w * l * q).sum() / l.sum() == pytest.approx(0.04, abs=0.002) and (w * l * (1 - q)).sum() / l.sum() == pytest.approx(0.96, abs=0.002)

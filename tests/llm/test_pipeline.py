@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import cases
 from tests.llm.test_jaccard import brute
@@ -39,3 +41,12 @@ def test_run(spark, tmp_path):
 
 def test_run_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, cases.empty(spark))).count() == 0
+
+
+def test_mixing_keeps_a_corpus_without_toxic_documents(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40 + id % 50), x -> concat('word', hash(id, x) % 500))) AS text", "'en' AS lang", "'web' AS source", "0 AS n_chars")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs.select("doc_id", F.lit(0).alias("toxic")).write.parquet(f"file://{tmp_path}/labels.parquet")
+    d = f"file://{tmp_path}"
+    mixed = corpus_pipeline.mix(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert [r.doc_id for r in mixed.select("doc_id").orderBy("doc_id").collect()] == list(range(3000))
