@@ -37,14 +37,15 @@ Plan = list[tuple[tuple[int, ...], int]]
 def priciest(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, size: int) -> Counter[int]:
     """The multiset of lengths worth most that fits `size`: knapsack dynamic programming. No length beyond its count."""
     worth, taken = np.zeros(size + 1), np.full(size + 1, -1)
-    n = np.searchsorted(lengths, np.arange(size + 1), "right")
+    by_length, place = np.full(size + 1, -np.inf), np.full(size + 1, -1)  # by size - length, so that both operands are slices
+    by_length[size - lengths], place[size - lengths] = price, np.arange(len(lengths))
     for c in range(1, size + 1):
-        worth[c], taken[c] = worth[c - 1], -1
-        if k := n[c]:
-            v = worth[c - lengths[:k]] + price[:k]
-            i = k - 1 - v[::-1].argmax()  # of equal worth: the longest
-            if v[i] > worth[c]:
-                worth[c], taken[c] = v[i], i
+        v = worth[:c] + by_length[size - c : size]
+        i = v.argmax()  # of equal worth: the longest
+        if v[i] > worth[c - 1]:
+            worth[c], taken[c] = v[i], place[size - c + i]
+        else:
+            worth[c] = worth[c - 1]
     found: Counter[int] = Counter()
     c = size
     while c > 0:
@@ -58,10 +59,14 @@ def priciest(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, size: int
     return found
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int, rate: float) -> dict[tuple[tuple[int, int], ...], float]:
-    """Configurations (index, times) and how often each is used, by multiplicative weights."""
+def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int | None, rate: float) -> dict[tuple[tuple[int, int], ...], float]:
+    """Configurations (index, times) and how often each is used, by multiplicative weights.
+
+    Without a number of rounds, until every length is covered. A round covers a length, or takes a step of 1 where the last
+    one fell short by rounding, so rounds are at most twice the lengths.
+    """
     cover, use = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
+    for _ in range(2 * len(lengths) if rounds is None else rounds):
         price = lengths * np.exp(-rate * np.minimum(cover, 50))
         price[cover >= 1] *= 0.5
         best = priciest(lengths, price, counts, size)
@@ -110,7 +115,7 @@ def rounded(use: dict[tuple[tuple[int, int], ...], float], share: float, left: d
     return plan + best_fit(left, size)
 
 
-def planned(histogram: dict[int, int], size: int = 2048, rounds: int = 400, rate: float = 1.0) -> Plan:
+def planned(histogram: dict[int, int], size: int = 2048, rounds: int | None = None, rate: float = 1.0) -> Plan:
     """(lengths of a sequence, how many such sequences): together they hold each length as often as the histogram."""
     left = {int(k): int(n) for k, n in histogram.items() if n > 0}
     plan: Plan = []

@@ -70,3 +70,16 @@ def test_pieces_and_places(spark, size):
 
 def test_empty_table(spark):
     assert packing.packed(cases.empty(spark), PATH, ["doc_id"]).count() == 0
+
+
+def test_the_program_covers_every_length(monkeypatch):
+    lengths = np.arange(1, 700)
+    counts = 1000 + 37 * lengths % 5003
+    seen, rounded = [], packing.rounded
+    monkeypatch.setattr(packing, "rounded", lambda use, *rest: seen.append(use) or rounded(use, *rest))
+    packing.planned(dict(zip(lengths.tolist(), counts.tolist())), 700)
+    cover = np.zeros(len(lengths))
+    for config, times in seen[0].items():
+        for i, k in config:
+            cover[i] += k * times
+    assert (cover >= counts * (1 - 1e-9)).all()
