@@ -28,3 +28,8 @@ def test_plans_push_down(spark):
     df = catalogue.opened(spark, SF).sql("SELECT c_name FROM customer WHERE c_custkey = 42 AND c_acctbal > 0")
     plan = df._jdf.queryExecution().toString()
     assert "EqualTo(c_custkey,42)" in plan and "c_mktsegment" not in plan.split("ReadSchema")[-1]
+
+
+def test_whole_texts_are_split(spark):
+    got = {r.doc_id: r.n for r in catalogue.queries()["fn_str_to_array"](spark, SF).collect()}
+    assert got == {r.doc_id: len(r.text.split(" ")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
