@@ -1,5 +1,7 @@
 """Every registered query against its oracle, and a canary that the comparison can fail."""
 
+from collections import Counter
+
 import pytest
 
 from tessel.plans import catalogue
@@ -33,3 +35,18 @@ def test_plans_push_down(spark):
 def test_whole_texts_are_split(spark):
     got = {r.doc_id: r.n for r in catalogue.queries()["fn_str_to_array"](spark, SF).collect()}
     assert got == {r.doc_id: len(r.text.split(" ")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_all_lineitems_are_read(spark):
+    """At a size with order keys beyond 2000."""
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    assert catalogue.queries()["agg_regr"](spark, d).first().n == rows.filter("l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL").count()
+    left = Counter(r[0] for r in rows.select("l_linenumber").collect()) - Counter(r[0] for r in spark.read.parquet(f"{d}/nation.parquet").select("n_regionkey").collect())
+    assert Counter(r.k for r in catalogue.queries()["setop_except_all"](spark, d).collect()) == left
+
+
+@pytest.mark.parametrize("name", ["agg_regr", "setop_except_all"])
+def test_matches_oracle_on_more_rows(spark, name):
+    d = "/root/testdata/sf0.01"
+    assert difference(catalogue.queries()[name](spark, d), connection(d), catalogue.oracles()[name]) is None
