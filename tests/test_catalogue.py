@@ -50,3 +50,11 @@ def test_all_lineitems_are_read(spark):
 def test_matches_oracle_on_more_rows(spark, name):
     d = "/root/testdata/sf0.01"
     assert difference(catalogue.queries()[name](spark, d), connection(d), catalogue.oracles()[name]) is None
+
+
+def test_ties_and_zeros_are_kept(spark):
+    orders, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
+    got = {r.o_orderkey: r.i for r in catalogue.queries()["expr_cast"](spark, SF).collect()}
+    assert got == {r.o_orderkey: round(r.o_totalprice) for r in orders.collect()}  # round() takes ties to even
+    assert any(r.o_totalprice % 1 == 0.5 for r in orders.collect())
+    assert catalogue.queries()["fn_math_basic"](spark, SF).count() == items.count()
