@@ -1,11 +1,7 @@
 """Packing token sequences: a configuration linear program over the histogram of lengths.
 
-A configuration is a multiset of lengths that fits one sequence. The program covers every length's count with as few
-sequences as possible. Multiplicative weights solve it: each length has a price, at first its share of a sequence; a
-knapsack dynamic program finds the configuration worth most at these prices, the configuration is used until it has
-covered its scarcest length, and the prices of covered lengths fall by a factor, so the next one turns to the others.
-A share of the fractional counts is rounded down and what it leaves over is packed by best fit, longest first; of a few
-shares the one that needs the fewest sequences stands. All of this sees the histogram alone, at most `size` numbers, whatever the corpus.
+tessel.llm.program solves it by multiplicative weights with knapsack dynamic programming, and rounds the solution to whole
+sequences. It sees the histogram alone, at most `size` numbers, whatever the corpus.
 
 Pieces get their place without any sort of the data: a piece's number among those of its length (a count kept by each
 partition, plus the counts of the partitions before it) is looked up in the plan's ranges.
@@ -27,105 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.llm.program import Plan, Program, best_fit, sequences
 from tessel.llm.shared import arrow_map, written
 
-#: Words that a worker keeps the ids of (about 200 bytes each, twice).
-KNOWN = 1_200_000
-Plan = list[tuple[tuple[int, ...], int]]
-
-
-def priciest(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, size: int) -> Counter[int]:
-    """The multiset of lengths worth most that fits `size`: knapsack dynamic programming. No length beyond its count."""
-    worth, taken = np.zeros(size + 1), np.full(size + 1, -1)
-    by_length, place = np.full(size + 1, -np.inf), np.full(size + 1, -1)  # by size - length, so that both operands are slices
-    by_length[size - lengths], place[size - lengths] = price, np.arange(len(lengths))
-    for c in range(1, size + 1):
-        v = worth[:c] + by_length[size - c : size]
-        i = v.argmax()  # of equal worth: the longest
-        if v[i] > worth[c - 1]:
-            worth[c], taken[c] = v[i], place[size - c + i]
-        else:
-            worth[c] = worth[c - 1]
-    found: Counter[int] = Counter()
-    c = size
-    while c > 0:
-        if taken[c] < 0:
-            c -= 1
-            continue
-        found[int(taken[c])] += 1
-        c -= int(lengths[taken[c]])
-    for i in found:
-        found[i] = min(found[i], int(most[i]))
-    return found
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int | None, rate: float) -> dict[tuple[tuple[int, int], ...], float]:
-    """Configurations (index, times) and how often each is used, by multiplicative weights.
-
-    Without a number of rounds, until every length is covered. A round covers a length, or takes a step of 1 where the last
-    one fell short by rounding, so rounds are at most twice the lengths.
-    """
-    cover, use = np.zeros(len(lengths)), {}
-    for _ in range(2 * len(lengths) if rounds is None else rounds):
-        price = lengths * np.exp(-rate * np.minimum(cover, 50))
-        price[cover >= 1] *= 0.5
-        best = priciest(lengths, price, counts, size)
-        if not best or min(cover[i] for i in best) >= 1:
-            break
-        step = max(1.0, min((1 - cover[i]) * counts[i] / k for i, k in best.items() if cover[i] < 1))
-        key = tuple(sorted(best.items()))
-        use[key] = use.get(key, 0.0) + step
-        for i, k in best.items():
-            cover[i] += k * step / counts[i]
-    return use
-
-
-def best_fit(left: dict[int, int], size: int) -> Plan:
-    """Longest first; what stays free takes the longest length that fits, again and again. Equal sequences are made at once."""
-    plan: Plan = []
-    there = np.zeros(size + 1, np.int64)
-    for length, n in left.items():
-        there[length] = n
-    while (some := np.flatnonzero(there)).size:
-        config, free = Counter({int(some[-1]): 1}), size - int(some[-1])
-        while True:
-            fits = [x for x in some[: np.searchsorted(some, free, "right")][::-1][:64] if there[x] > config[int(x)]]
-            if not fits:
-                fits = [x for x in some[: np.searchsorted(some, free, "right")][::-1] if there[x] > config[int(x)]][:1]
-            if not fits:
-                break
-            config[int(fits[0])] += 1
-            free -= int(fits[0])
-        times = min(int(there[x]) // k for x, k in config.items())
-        plan.append((tuple(sorted(config.elements(), reverse=True)), times))
-        for x, k in config.items():
-            there[x] -= k * times
-    return plan
+#: Words that a worker keeps the ids of (about 200 bytes each, twice: 60 MB).
+KNOWN = 150_000
 
 
-def rounded(use: dict[tuple[tuple[int, int], ...], float], share: float, left: dict[int, int], lengths: np.ndarray, size: int) -> Plan:
-    """Whole sequences from a share of the fractional solution, rounded down, fullest first; best fit packs what is left."""
-    plan, left = [], dict(left)
-    for config, x in sorted(use.items(), key=lambda x: -sum(int(lengths[i]) * k for i, k in x[0])):
-        times = min(int(x * share), *(left[int(lengths[i])] // k for i, k in config))
-        if times > 0:
-            plan.append((tuple(sorted((int(lengths[i]) for i, k in config for _ in range(k)), reverse=True)), times))
-            for i, k in config:
-                left[int(lengths[i])] -= k * times
-    return plan + best_fit(left, size)
+def planned(histogram: dict[int, int], size: int = 2048) -> Plan:
+    """(lengths of a sequence, how many such sequences): together they hold each length as often as the histogram.
 
-
-def planned(histogram: dict[int, int], size: int = 2048, rounds: int | None = None, rate: float = 1.0) -> Plan:
-    """(lengths of a sequence, how many such sequences): together they hold each length as often as the histogram."""
+    The program's plan, unless best fit alone needs fewer sequences: the program is solved to a gap, not to the end.
+    """
     left = {int(k): int(n) for k, n in histogram.items() if n > 0}
     plan: Plan = []
     if whole := left.pop(size, 0):
         plan.append(((size,), whole))
     if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[int(x)] for x in lengths])
-        use = fractional(lengths, counts, size, rounds, rate)
-        plan += min((rounded(use, share, left, lengths, size) for share in (1.0, 0.9, 0.7, 0.5, 0.3, 0.15, 0.05)), key=lambda p: sum(times for _, times in p))
+        lengths = np.array(sorted(left, reverse=True))
+        program = Program(lengths, np.array([left[int(x)] for x in lengths]), size)
+        plan += min(program.rounded(program.solved()), best_fit(left, size), key=sequences)
     return plan
 
 
