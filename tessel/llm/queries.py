@@ -99,10 +99,13 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM d) GROUP BY doc_id),
         t AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
           CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
-        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, x, ws, string_split(x, chr(10)) AS al FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+        m AS (SELECT *, len(list_filter(al, lambda v: regexp_matches(v, '^[ \t]*([-*]|\x{2022})'))) AS nb, len(list_filter(al, lambda v: regexp_matches(v, '(\.\.\.|\x{2026})[ \t\r]*$'))) AS ne FROM t)
+        SELECT * EXCLUDE (x, ws, al, nb, ne), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_words / 5)
-            OR word_chars < 2 * n_words OR word_chars > 18 * n_words) AS kept FROM t""",
+            OR word_chars < 2 * n_words OR word_chars > 18 * n_words OR 10 * length(regexp_replace(x, '[^A-Za-z\x{80}-\x{10FFFF}]+', '', 'g')) < 3 * word_chars
+            OR (len(al) > 1 AND nb >= 3 AND 10 * nb > 9 * len(al)) OR (len(al) > 1 AND ne >= 3 AND 10 * ne > 5 * len(al))
+            OR (n_words >= 50 AND len(list_distinct(ws)) < 10)) AS kept FROM m""",
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
