@@ -9,25 +9,27 @@ order of shingles the first |x| - ceil(t |x|) + l of x and as many of y share at
    is done. Of the others the whole sets are computed again, and
 2. by frequency, rarest first: shingles that no other class has come first, and of the s others of a class the
    s - ceil(t |x|) + 1 rarest hold one that its partner has among its own. They are its keys. A class of which more than
-   1 - t is its own has none, whatever passages it shares.
-3. by hash, descending: the last shingles of the sorted sets, checked with order 1 before a pair is verified in full.
-
-Verification intersects the whole sets. Pairs are not enumerated within a key. First every class meets the centre of each
-of its keys, the class with the fewest shingles of its own (a star: as many pairs as rows); links found give components.
-Only classes of different components that still share a key are compared, and of those only pairs that can link by the
-shingles they share with any class and by their parity maps, and whose distances to the key's centre differ by no more than 1 - t, since
-1 - Jaccard is a metric. Nothing is capped.
+   1 - t is its own has none, whatever passages it shares. A pair is a candidate if it shares a key, and
+3. the filters are intersected on each such pair before any set is attached to it: its prefixes under order 1 and under
+   the opposite one, by hash, descending, share at least l shingles each, and its sizes allow a link.
+
+Verification then intersects the whole sets. Pairs are not enumerated within a key. First every class meets the centre of
+each of its keys, the class with the fewest shingles of its own (a star: as many pairs as rows); links found give
+components. Only classes of different components that still share a key are compared, and of those only pairs that can
+link by the shingles they share with any class and by their parity maps, and whose distances to the key's centre, where
+they were measured, differ by no more than 1 - t, since 1 - Jaccard is a metric. Nothing is capped.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.shared import arrow_map, in_slices, removed, tidied, words_of, written
@@ -37,6 +39,8 @@ BITS = 1024
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of a side that is sent to all executors, at most (8 to 24 bytes a row).
 SMALL = 300_000
+#: Rows of a key in one block of comparisons, about.
+BLOCK = 500
 #: Hundredths of a set's size that l adds to 1 in the filters by hash.
 WIDE = 5
 
@@ -93,8 +97,12 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.lit(29), F.col(text))
+
+
 def signatures(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
-    """row, doc_id, n (size of the set), fp (128 bits of the set), pre (the first shingles by hash)."""
+    """row, doc_id, th (hash of the text), n (size of the set), fp (128 bits of the set), pre (the first shingles by hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -105,10 +113,10 @@ def signatures(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFram
                 pre = [x[: s.prefix(len(x))] if len(x) else x for x in sets]
                 flat = np.concatenate(pre).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in pre]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(n), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], ["doc_id", "n", "fp", "pre"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(n), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], ["doc_id", "th", "n", "fp", "pre"])
 
-    chosen = docs.select(F.col(text).cast("binary"), F.col(doc_id).alias("doc_id"))
-    rows = arrow_map(chosen, run, f"doc_id {dict(chosen.dtypes)['doc_id']}, n long, fp binary, pre array<long>")
+    chosen = docs.select(F.col(text).cast("binary").alias("body"), F.col(doc_id).alias("doc_id"), text_hash(text).alias("th"))
+    rows = arrow_map(chosen, run, f"doc_id {dict(chosen.dtypes)['doc_id']}, th long, n long, fp binary, pre array<long>")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -135,35 +143,62 @@ def sets_of(docs: DataFrame, active: DataFrame, n_active: int, s: Settings, text
     return found.join(_light(active.select("row", "fp"), n_active), "fp").select("row", "set", "bits").dropDuplicates(["row"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, s: Settings, distances: bool = False) -> DataFrame:
-    """pairs (a, b) with linked, and dist (1 - Jaccard): null, unless asked for, where the prefix filters rule a link out."""
+def _ends(pairs: DataFrame, n: int, sets: DataFrame, *what: Column) -> DataFrame:
+    """pairs (a, b), n of them, with what each end's set gives: a_<name>, b_<name>."""
+    if n <= SMALL:  # of the sets, only those of the pairs are read on and moved
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        sets = sets.join(F.broadcast(ends), "row", "left_semi")
+    given = sets.select("row", *what)
+    names = given.columns[1:]
+    a, b = (given.select(F.col("row").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in names]) for k in "ab")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", *[f"{k}_{c}" for c in names for k in "ab"])
+
+
+def intersected(pairs: DataFrame, n: int, sets: DataFrame, s: Settings) -> DataFrame:
+    """Those of the pairs (a, b) that pass the prefix filters under both hash orders, and by size. Prefixes are cut from the
+    sets before the join, so no whole set is attached to a pair that a filter refuses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda x: np.frombuffer(x, np.uint64)
+        for batch in batches:
+            kept = []
+            for nx, ny, *cuts in zip(*[batch.column(i).to_pylist() for i in range(2, 8)]):
+                least = min(s.depth(nx), s.depth(ny))
+                fits = 100 * min(nx, ny) >= s.percent * max(nx, ny)
+                kept.append(fits and all(len(np.intersect1d(numbers(x), numbers(y), assume_unique=True)) >= least for x, y in (cuts[:2], cuts[2:])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    size = F.floor(F.length("set") / 8)
+    bytes_of = (8 * (size - F.floor((s.percent * size + 99) / 100) + 1 + F.floor(size * WIDE / 100))).cast("int")
+    first, last = F.substring("set", F.lit(1), bytes_of), F.substring("set", F.length("set") - bytes_of + 1, bytes_of)
+    return arrow_map(_ends(pairs, n, sets, size.cast("long").alias("n"), first.alias("first"), last.alias("last")), run, "a long, b long")
+
+
+def verified(pairs: DataFrame, n: int, sets: DataFrame, s: Settings) -> DataFrame:
+    """pairs (a, b) with dist (1 - Jaccard) and linked, by the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dist, linked = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                may = _may_link(x, y, s)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if may or distances else -1
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - both
-                dist.append(1 - both / union if both >= 0 else None)
-                linked.append(may and 100 * both >= s.percent * union)
+                dist.append(1 - both / union)
+                linked.append(100 * both >= s.percent * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dist, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "dist", "linked"])
 
-    a, b = (sets.select(F.col("row").alias(k), F.col("set").alias(f"{k}_set")) for k in "ab")
-    return arrow_map(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set"), run, "a long, b long, dist double, linked boolean")
+    return arrow_map(_ends(pairs, n, sets, F.col("set")), run, "a long, b long, dist double, linked boolean")
 
 
-def _may_link(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
-    """Sizes, and the prefixes under both hash orders, allow a link."""
-    small, large = sorted((len(x), len(y)))
-    if 100 * small < s.percent * large:
-        return False
-    least = min(s.depth(len(x)), s.depth(len(y)))
-    cut = lambda v: s.prefix(len(v))
-    if len(np.intersect1d(x[: cut(x)], y[: cut(y)], assume_unique=True)) < least:
-        return False
-    return len(np.intersect1d(x[-cut(x) :], y[-cut(y) :], assume_unique=True)) >= least
+def linked(pairs: DataFrame, sets: DataFrame, s: Settings, what: str) -> DataFrame:
+    """A written table of the candidate pairs (a, b) that pass the filters, with dist and linked."""
+    pairs = written(pairs, f"{what}-pairs")
+    passed = written(intersected(pairs, pairs.count(), sets, s), f"{what}-passed")
+    found = written(verified(passed, passed.count(), sets, s), what)
+    removed(pairs)
+    removed(passed)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -171,29 +206,28 @@ def components(links: DataFrame) -> DataFrame:
     the label's label, until nothing changes; each round is a written table."""
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = written(ends.union(ends.select("v", "u")).filter("u <> v").distinct(), "cc-edges")
-    labels = written(edges.groupBy(F.col("u").alias("row")).agg(F.least(F.col("row"), F.min("v")).alias("root")), "cc-labels")
-    while True:
-        near = edges.join(labels, edges.v == labels.row).groupBy(F.col("u").alias("row")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "row").select("row", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        step = written(step, "cc-step")
+    held = labels = written(edges.groupBy(F.col("u").alias("row")).agg(F.least(F.col("row"), F.min("v")).alias("root")), "cc-labels")
+    n = labels.count()
+    while True:  # labels are sent to all executors where they are few; else a hub's edges are one key, which AQE splits
+        near = edges.join(_light(labels.withColumnRenamed("row", "v"), n), "v").groupBy(F.col("u").alias("row")).agg(F.min("root").alias("near"))
+        step = written(labels.join(near, "row").select("row", F.col("root").alias("was"), F.least("root", "near").alias("root")), "cc-step")
         up = step.select(F.col("row").alias("root"), F.col("root").alias("above"))
-        step = written(step.join(up, "root", "left").select("row", "was", F.least("root", F.coalesce("above", "root")).alias("root")), "cc-labels")
-        labels = step.select("row", "root")
-        if step.filter("root < was").isEmpty():
+        after = written(step.join(_light(up, n), "root", "left").select("row", "was", F.least("root", F.coalesce("above", "root")).alias("root")), "cc-labels")
+        removed(step)
+        removed(held)
+        held, labels = after, after.select("row", "root")
+        if after.filter("root < was").isEmpty():
+            removed(edges)
             return labels
 
 
-def classes(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
-
-    Null and empty texts have no shingles and link with nothing. Null ids never become a component's id while it has
-    another. Rows that repeat an id are rows of their own. Other columns do not matter; an empty table gives an empty result.
-    """
+def grouped(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
+    """doc_id, th (hash of the text), n (shingles), root (one for each component) of every row of docs."""
     rows = written(signatures(docs, s, text, doc_id), "jaccard-rows")
     full = rows.filter("n > 0")
     groups = written(full.groupBy("fp").agg(F.min("row").alias("cls"), F.count("*").alias("c")).filter("c > 1").select("fp", "cls"), "jaccard-groups")
     n_groups = groups.count()
-    of_class = rows.select("row", "doc_id", "n", "fp").join(_light(groups, n_groups), "fp", "left").select("row", "doc_id", "n", "fp", F.coalesce("cls", "row").alias("cls"))
+    of_class = rows.select("row", "doc_id", "th", "n", "fp").join(_light(groups, n_groups), "fp", "left").select("row", "doc_id", "th", "n", "fp", F.coalesce("cls", "row").alias("cls"))
     of_class = written(of_class, "jaccard-classes")
     copies = of_class.filter("cls <> row").select("row")
     reps = full.select("row", "n", "pre").join(_light(copies, copies.count()), "row", "left_anti")
@@ -207,30 +241,53 @@ def classes(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_i
     tidied(docs.sparkSession)
 
     leaders = keys.groupBy("tok").agg(F.min(F.struct(F.expr("n - s").alias("u"), "row")).getField("row").alias("a"), F.count("*").alias("c")).filter("c > 1").select("tok", "a")
-    met = keys.join(leaders, "tok")
-    pairs = met.filter("row <> a").select("a", F.col("row").alias("b")).distinct()
-    star = written(verified(pairs, sets, s, distances=True), "jaccard-star")
+    leaders = written(leaders, "jaccard-leaders")
+    met = keys.join(_light(leaders, leaders.count()), "tok")
+    pairs = written(met.filter("row <> a").select("a", F.col("row").alias("b")).distinct(), "jaccard-met")
+    star = linked(pairs, sets, s, "jaccard-star")
     labels = components(star.filter("linked"))
-    rest = _rest(met, star, labels, sets, s)
-    more = written(verified(rest, sets, s).filter("linked"), "jaccard-more")
+    more = linked(_rest(met, pairs.join(star, ["a", "b"], "left"), labels, sets, s), sets, s, "jaccard-more").filter("linked")
     if not more.isEmpty():
         labels = components(star.filter("linked").select("a", "b").union(more.select("a", "b")))
+    removed(sets)
+    removed(keys)
+    return of_class.join(labels.withColumnRenamed("row", "cls"), "cls", "left").select("doc_id", "th", "n", F.coalesce("root", "cls").alias("root"))
+
 
-    named = of_class.join(labels.withColumnRenamed("row", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
+def classes(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs.
+
+    Null and empty texts have no shingles and link with nothing. Null ids never become a component's id while it has
+    another. Rows that repeat an id are rows of their own. Other columns do not matter; an empty table gives an empty result.
+    """
+    named = grouped(docs, s, text, doc_id)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).filter("c > 1").drop("c")
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings(5, 80), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs without near copies: of each component the row with its smallest id stays, once.
+    """The rows of docs without near copies: of each component one row with its smallest id stays.
 
-    Rows without an id cannot be told apart and stay. All columns of docs stay as they are.
+    Decisions are by row, told by its id and the hash of its text: another text under the same id is a row of its own, and of
+    texts of one component under one id the one with the smallest hash stays, once. Rows without an id, and texts without a
+    word, all stay. All columns of docs stay as they are, whatever their names; an empty table gives an empty result.
     """
-    found = classes(docs, s, text, doc_id)
-    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "jaccard-gone")
-    kept = docs.join(_light(gone, gone.count()), doc_id, "left_anti").select(docs.columns)
-    repeated = docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([doc_id, text])
+    found = written(grouped(docs, s, text, doc_id).filter("n > 0 and doc_id is not null"), "jaccard-found")
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("c")).filter("c > 1").select("root", "k.*")
+    stays = written(stays, "jaccard-stays")
+    n = stays.count()
+    first = stays.withColumnRenamed("doc_id", "first").withColumnRenamed("th", "first_th")
+    gone = found.join(_light(first, n), "root").filter("doc_id <> first or th <> first_th").select("doc_id", "th").distinct()
+    gone = written(gone, "jaccard-gone")
+    twice = found.join(_light(stays, n), ["root", "doc_id", "th"], "left_semi").groupBy("doc_id", "th").count().filter("count > 1").select("doc_id", "th")
+    twice = written(twice, "jaccard-twice")
+    key, th = (f"_{x}_{uuid.uuid4().hex}" for x in ("id", "th"))
+    here = docs.withColumn(key, F.col(doc_id)).withColumn(th, text_hash(text))
+    of = lambda df: _light(df.select(F.col("doc_id").alias(key), F.col("th").alias(th)), df.count())
+    kept = here.join(of(gone), [key, th], "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(of(twice), [key, th], "left_anti").unionByName(kept.join(of(twice), [key, th], "left_semi").dropDuplicates([key, th]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
@@ -272,24 +329,29 @@ def _rest(met: DataFrame, star: DataFrame, labels: DataFrame, sets: DataFrame, s
     The intersection has at most min(s) shingles, and the sets differ in at least as many as their parity maps do: both
     bound the similarity.
     A class that did not link with its key's centre, at distance d from it, meets the others of that key whose
-    distance lies within 1 - t of d; of those that did link (at most 1 - t away) it meets none if d > 2 (1 - t).
+    distance lies within 1 - t of d; of those that did link (at most 1 - t away) it meets none if d > 2 (1 - t). Where the
+    filters refused the pair with the centre, its distance is unknown, and more than 1 - t.
+    A key's rows that did not link are dealt out in blocks of about BLOCK, each with all its other rows.
     """
     band = 1 - s.percent / 100 + 1e-9
-    star = star.select("a", F.col("b").alias("row"), "dist", "linked")
+    star = star.select("a", F.col("b").alias("row"), "dist", F.coalesce("linked", F.lit(False)).alias("linked"))
     here = met.filter("row <> a").join(labels.select("row", F.col("root").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     here = here.join(star, ["a", "row"])
-    open_keys = here.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("done")).filter("lo < hi and not done").select("tok")
+    open_keys = here.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.when(~F.col("linked"), 1)).alias("left")).filter("lo < hi and left > 0")
+    open_keys = open_keys.select("tok", F.ceil(F.col("left") / BLOCK).cast("int").alias("blocks"))
     here = here.join(open_keys, "tok").join(sets.select("row", "bits"), "row")
-    here = written(here.select("tok", "row", "n", "s", "comp", "dist", "linked", "bits"), "jaccard-open")
-    x, y = (here.select("tok", *[F.col(c).alias(f"{k}_{c}") for c in ("row", "n", "s", "comp", "dist", "linked", "bits")]) for k in "xy")
+    here = written(here.select("tok", "row", "n", "s", "comp", "dist", "linked", "bits", "blocks"), "jaccard-open")
+    x, y = (here.select("tok", "blocks", *[F.col(c).alias(f"{k}_{c}") for c in ("row", "n", "s", "comp", "dist", "linked", "bits")]) for k in "xy")
+    x = x.filter("not x_linked").withColumn("block", F.pmod(F.xxhash64("x_row"), "blocks").cast("int")).drop("blocks")
+    y = y.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     apart = sum(F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(BITS // 64))
     fits = (
         (F.col("x_comp") != F.col("y_comp"))
         & (F.col("y_linked") | (F.col("x_row") < F.col("y_row")))
-        & (F.abs(F.col("x_dist") - F.col("y_dist")) <= band)
+        & F.coalesce(F.abs(F.col("x_dist") - F.col("y_dist")) <= band, F.lit(True))
         & (100 * F.least("x_n", "y_n") >= s.percent * F.greatest("x_n", "y_n"))
         & ((100 + s.percent) * F.least("x_s", "y_s") >= s.percent * (F.col("x_n") + F.col("y_n")))
         & ((100 + s.percent) * (F.col("x_n") + F.col("y_n") - apart) >= 2 * s.percent * (F.col("x_n") + F.col("y_n")))
     )
-    pairs = x.filter("not x_linked").join(y, "tok").filter(fits)
+    pairs = x.join(y, ["tok", "block"]).filter(fits)
     return pairs.select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()

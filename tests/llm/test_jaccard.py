@@ -69,6 +69,39 @@ def test_one_of_each_group_stays(spark):
     assert set(ids) == expected and len(ids) == len(set(ids))
 
 
+def test_rows_with_repeated_and_missing_ids(spark):
+    r = random.Random(4)
+    a, b, c = (" ".join(cases.words(r, 60)) for _ in range(3))
+    near_a = a + " more"
+    rows = [(3, a), (5, a), (5, b), (5, b), (3, near_a), (None, a), (None, a), (7, c), (8, None), (8, None), (9, " "), (2, near_a)]
+    docs = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], "doc_id long, text string, th int, root int, key int")
+    kept = jaccard.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr)
+    assert got == sorted([(2, near_a), (5, b), (None, a), (None, a), (7, c), (8, None), (8, None), (9, " ")], key=repr)
+
+
+def test_filters_refuse_pairs_before_sets_are_attached(spark):
+    """Pairs that pass: those of the candidates whose sizes and prefixes under both hash orders allow a link; no link is lost."""
+    s = jaccard.Settings(1, 80)
+    sets = {i: jaccard.np.sort(jaccard.np.random.default_rng(i % 4).integers(0, 2**63, 100 + i).astype(jaccard.np.uint64)) for i in range(12)}
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "row long, set binary")
+    pairs = [(i, j) for i in sets for j in sets if i < j]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = {tuple(r) for r in jaccard.intersected(df, len(pairs), table, s).collect()}
+    many = {tuple(r) for r in jaccard.intersected(df, 10**9, table, s).collect()}  # sets too many to send to all executors
+    links = {tuple(r)[:2] for r in jaccard.verified(df, len(pairs), table, s).filter("linked").collect()}
+    assert got == many and links <= got and len(got) < len(pairs)
+    brute = set()
+    for i, j in pairs:
+        x, y = sets[i], sets[j]
+        least = min(s.depth(len(x)), s.depth(len(y)))
+        common = [len(set(x[p].tolist()) & set(y[q].tolist())) for p, q in ((slice(s.prefix(len(x))), slice(s.prefix(len(y)))), (slice(-s.prefix(len(x)), None), slice(-s.prefix(len(y)), None)))]
+        if 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)) and min(common) >= least:
+            brute.add((i, j))
+    assert got == brute
+
+
 def test_empty_table(spark):
     assert jaccard.classes(cases.empty(spark)).count() == 0
     assert jaccard.deduplicated(cases.empty(spark)).count() == 0
