@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessel.llm.program import Plan, Program, best_fit, sequences
 from tessel.llm.shared import arrow_map, written
 
-#: Words that a worker keeps the ids of (about 200 bytes each, twice: 60 MB).
-KNOWN = 150_000
+#: Words that a worker keeps the ids of (about 200 bytes each, as words and as parts: 160 MB).
+KNOWN = 400_000
 
 
 def planned(histogram: dict[int, int], size: int = 2048) -> Plan:
@@ -58,7 +58,8 @@ class _Encoder:
 
     A text is cut at spaces and line ends, which the tokenizer's words never cross, and each part's ids are looked up. An
     unseen part in Latin-1 is cut into words here; unseen words are encoded many at once and told apart by their last
-    token, which ends a word. Other unseen parts go to the tokenizer as they are.
+    token, which ends a word. Other unseen parts go to the tokenizer as they are. What has been seen is kept in two
+    generations: a full one becomes the old one, from which what is met again is taken back, so common words stay.
     """
 
     def __init__(self, path: str, most: int = KNOWN):
@@ -71,6 +72,8 @@ class _Encoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -102,11 +105,13 @@ class _Encoder:
         return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, plain: set[str], odd: set[str]) -> None:
-        if len(self.words) > self.most:
-            self.words.clear()
+        if len(self.words) > self.most // 2:
+            self.old_words, self.words = self.words, {}
         single = [(p, p.lower()) for p in plain if p.isalpha()]
         several = [(p, _CUT.findall(p.lower())) for p in plain if not p.isalpha()]
-        self._plain(list({w for _, w in single}.union(*(ws for _, ws in several)).difference(self.words)))
+        new = {w for _, w in single}.union(*(ws for _, ws in several)).difference(self.words)
+        self._take_back(self.words, self.old_words, new)
+        self._plain(list(new))
         of, join = self.words.__getitem__, b"".join
         self.parts.update([(p, of(w)) for p, w in single])
         self.parts.update([(p, join(map(of, ws))) for p, ws in several])
@@ -114,9 +119,17 @@ class _Encoder:
         for p, e in zip(odd_list, self.tokenizer.encode_batch_fast(odd_list, add_special_tokens=False) if odd_list else ()):
             self.parts[p] = np.array(e.ids, "<u4").tobytes()
 
+    @staticmethod
+    def _take_back(now: dict[str, bytes], old: dict[str, bytes], wanted: set[str]) -> None:
+        """Moves what is wanted and in the old generation to the present one; it is wanted no more."""
+        if old:
+            met = wanted & old.keys()
+            now.update((x, old[x]) for x in met)
+            wanted -= met
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.most:
-            self.parts.clear()
+        if len(self.parts) > self.most // 2:
+            self.old_parts, self.parts = self.parts, {}
         get = self.parts.get
         found, plain, odd = [], set(), set()
         for t in texts:
@@ -131,6 +144,8 @@ class _Encoder:
             if new:
                 (plain if self._is_plain(t) else odd).update(new)
             found.append((ids, holes, new))
+        self._take_back(self.parts, self.old_parts, plain)
+        self._take_back(self.parts, self.old_parts, odd)
         if plain or odd:
             self._learn(plain, odd)
         for ids, holes, parts in found:
