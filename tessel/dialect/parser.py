@@ -534,6 +534,8 @@ class Parser:
                 return N("is", what="null", no=v == "notnull", arg=left)
         no = v == "not" and self.peek().kind == "id" and self.peek().value in ("between", "in", "like", "ilike", "similar")
         w = self.peek().value if no else v
+        if w == "similar" and not self.peek(2 if no else 1).value == "to":
+            return None
         if power < RANGE and w in ("between", "in", "like", "ilike", "similar"):
             self.i += 2 if no else 1
             if w == "between":
@@ -568,7 +570,7 @@ class Parser:
             if self.take("at", "time", "zone"):
                 return N("call", name="timezone", args=[self.expr(ZONE), left], named={}, distinct=False, order=[], filter=None, over=None, within=None, star=False, path=["timezone"])
             if self.take("at", "local"):
-                raise SqlError("42883", "function timezone(timestamp) does not exist")
+                return self.call_node(["timezone"], [left])
         if v == "collate" and power < COLLATE:
             self.i += 1
             self.path()
@@ -1166,9 +1168,11 @@ class Parser:
         columns, constraints, likes = [], [], []
         while not self.take_op(")"):
             if self.take("like"):
-                likes.append(self.path())
-                while self.take("including") or self.take("excluding"):
-                    self.i += 1
+                path_, parts = self.path(), set()
+                while (more := self.take("including")) or self.take("excluding"):
+                    what = self.next().value
+                    parts = parts | {what} if more else parts - {what}
+                likes.append((path_, parts))
             elif self.t.kind == "id" and self.t.value in ("constraint", "primary", "unique", "check", "foreign", "exclude"):
                 constraints.append(self.table_constraint())
             else:
@@ -1235,7 +1239,7 @@ class Parser:
     def references(self, name: str | None, columns: list[str]) -> N:
         path = self.path()
         to = self.names() if self.op("(") else []
-        full = False
+        full = deferred = False
         actions = {"delete": "no action", "update": "no action"}
         while True:
             if self.take("match"):
@@ -1243,8 +1247,10 @@ class Parser:
             elif self.take("on"):
                 what = self.next().value
                 actions[what] = self.one_of("cascade", "set null", "set default", "restrict", "no action") or ""
-            elif not (self.take("deferrable") or self.take("not", "deferrable") or self.take("initially", "deferred") or self.take("initially", "immediate") or self.take("not", "valid")):
-                return N("foreign", name=name, columns=columns, path=path, to=to, full=full, on_delete=actions["delete"], on_update=actions["update"])
+            elif self.take("initially", "deferred"):
+                deferred = True
+            elif not (self.take("deferrable") or self.take("not", "deferrable") or self.take("initially", "immediate") or self.take("not", "valid")):
+                return N("foreign", name=name, columns=columns, path=path, to=to, full=full, deferred=deferred, on_delete=actions["delete"], on_update=actions["update"])
 
     def table_constraint(self) -> N:
         name = self.name() if self.take("constraint") else None

@@ -172,7 +172,7 @@ def _cast(x: E, kind: str, mods: list[int]) -> E:
             return E(f"X'{text[2:]}'", kind) if text.startswith("\\x") else E(f"CAST({x.sql} AS BINARY)", kind)
         if x.type in ty.INTS:
             return E(f"unhex(lpad(hex({x.sql}), { {'int2': 4, 'int4': 8, 'int8': 16}[x.type]}, '0'))", kind)
-        return E(f"unhex(substring({x.sql}, 3))" if x.type in ("text", "varchar") else f"CAST({x.sql} AS BINARY)", kind)
+        return E(f"CASE WHEN startswith({x.sql}, '\\\\x') THEN unhex(substring({x.sql}, 3)) ELSE pg_decode_escape({x.sql}) END" if x.type in ("text", "varchar") else f"CAST({x.sql} AS BINARY)", kind)
     if kind in ("tsvector", "tsquery"):
         from tessel.functions import textsearch as ts
 
@@ -217,6 +217,12 @@ def _numeric_pair(a: E, b: E, tr: Any) -> tuple[E, E]:
     return tr.pair(a, b) if "unknown" in (a.type, b.type) else (a, b)
 
 
+def divided(a: str, b: str) -> str:
+    """A quotient of numerics with 16 decimals. Spark's own type keeps 6 for wide operands, so they are narrowed where they fit."""
+    narrow = f"try_cast({b} AS DECIMAL(22,6))"
+    return f"coalesce(CAST(try_cast({a} AS DECIMAL(26,10)) / (CASE WHEN {narrow} = {b} THEN {narrow} END) AS DECIMAL(38,16)), CAST({a} / {b} AS DECIMAL(38,16)))"
+
+
 def operator(op: str, a: E, b: E, tr: Any) -> E:
     ka, kb = a.type, b.type
     if op in ("+", "-"):
@@ -240,7 +246,7 @@ def operator(op: str, a: E, b: E, tr: Any) -> E:
             return E(f"CAST(({a.sql} DIV {b.sql}) AS {ty.spark_type(kind)})", kind)
         if kind == "numeric":
             fix = lambda x: f"CAST({x.sql} AS DECIMAL({ {'int2': 5, 'int4': 10, 'int8': 19}[x.type]},0))" if x.type in ty.INTS and x.value is None else x.sql
-            return E(f"({fix(a)} {op} {fix(b)})", kind)
+            return E(divided(fix(a), fix(b)) if op == "/" else f"({fix(a)} {op} {fix(b)})", kind)
         return E(f"({a.sql} {op} {b.sql})", kind)
     if op == "^":
         a, b = _numeric_pair(a, b, tr)
@@ -334,6 +340,9 @@ def _time_arithmetic(op: str, a: E, b: E, tr: Any) -> E | None:
         return E(f"({base} + {iv.native(b.sql, '-' if op == '-' else '')})", "timestamp" if ka == "date" else ka)
     if ka == "interval" and kb in times and op == "+":
         return _time_arithmetic("+", b, a, tr)
+    if {ka, kb} == {"date", "time"} and op == "+":
+        d, t = (a, b) if ka == "date" else (b, a)
+        return E(f"CAST(concat(CAST({d.sql} AS STRING), ' ', {t.sql}) AS TIMESTAMP_NTZ)", "timestamp")
     if ka == "date" and kb in ty.INTS:
         return E(f"date_{'add' if op == '+' else 'sub'}({a.sql}, CAST({b.sql} AS INT))", "date")
     if ka in ty.INTS and kb == "date" and op == "+":
@@ -678,7 +687,9 @@ def _to_char(x: E, f: E) -> E:
 
 
 @fn("timezone")
-def _timezone(zone: E, x: E, tr: Any = None) -> E:
+def _timezone(zone: E, x: E | None = None, tr: Any = None) -> E:
+    if x is None:  # AT LOCAL
+        zone, x = E("current_timezone()", "text"), zone
     x = _as_time(x, tr)
     if x.type == "timestamptz":
         return E(f"convert_timezone(current_timezone(), {zone.sql}, CAST({x.sql} AS TIMESTAMP_NTZ))", "timestamp")
@@ -709,7 +720,7 @@ for _b in ("", "b"):
     F[f"{_k}_array_length"] = lambda j: E(f"coalesce(json_array_length({j.sql}), CASE WHEN {j.sql} IS NOT NULL THEN CAST(raise_error('22023: cannot get array length of a non-array') AS INT) END)", "int4")
     F[f"{_k}_extract_path"] = lambda j, *p, _k=_k: E(f"pg_json_path({j.sql}, array({', '.join(x.sql for x in p)}), false)", _k)
     F[f"{_k}_extract_path_text"] = lambda j, *p: E(f"pg_json_path({j.sql}, array({', '.join(x.sql for x in p)}), true)", "text")
-    F[f"{_k}_strip_nulls"] = lambda j, *_, _k=_k: E(f"pg_json_strip_nulls({j.sql})", _k)
+    F[f"{_k}_strip_nulls"] = lambda j, *_, _k=_k: E(f"pg_{_k}_strip_nulls({j.sql})", _k)
 F["jsonb_path_query_first"] = lambda j, p: E(f"pg_json_path({j.sql}, pg_jsonpath({p.sql}), false)", "jsonb")
 F["jsonb_path_exists"] = lambda j, p: E(f"(pg_json_path({j.sql}, pg_jsonpath({p.sql}), false) IS NOT NULL)", "bool")
 F["jsonb_pretty"] = lambda j: E(f"pg_jsonb_pretty({j.sql})", "text")
@@ -743,7 +754,7 @@ def _array_position(a: E, x: E, start: E | None = None, tr: Any = None) -> E:
 
 F["array_fill"] = lambda x, d, *_, tr=None: E(f"array_repeat({x.sql}, get({cast(d, N('type', name='int4', mods=[], dims=1), tr).sql if d.type == 'unknown' else d.sql}, 0))", f"{x.type if x.type != 'unknown' else 'text'}[]")
 F["trim_array"] = lambda a, n: E(f"slice({a.sql}, 1, size({a.sql}) - {n.sql})", a.type)
-F["array_to_string"] = lambda a, s, null=None: E(f"array_join(transform({a.sql}, e -> {as_text(E('e', 'float4' if _elem(a) == 'float8' else _elem(a)))}), {s.sql}{', ' + null.sql if null else ''})", "text")
+F["array_to_string"] = lambda a, s, null=None: E(f"array_join(CAST({a.sql} AS ARRAY<STRING>), {s.sql}{', ' + null.sql if null else ''})", "text") if _elem(a) in (*ty.INTS, "text", "varchar") else E(f"array_join(transform({a.sql}, e -> {as_text(E('e', 'float4' if _elem(a) == 'float8' else _elem(a)))}), {s.sql}{', ' + null.sql if null else ''})", "text")
 F["array_shuffle"] = lambda a: E(f"shuffle({a.sql})", a.type)
 F["array_sample"] = lambda a, n: E(f"slice(shuffle({a.sql}), 1, {n.sql})", a.type)
 
@@ -785,15 +796,24 @@ F["tsvector_length"] = lambda v: E(f"pg_ts_length({v.sql})", "int4")
 # constants
 F["uuid_extract_version"] = lambda u: E(f"CAST(conv(substring({u.sql}, 15, 1), 16, 10) AS SMALLINT)", "int2")
 F["pg_size_pretty"] = lambda n: E(f"CASE WHEN abs({n.sql}) < 10240 THEN concat({n.sql}, ' bytes') WHEN abs({n.sql}) < 10485760 THEN concat(CAST(round({n.sql} / 1024) AS BIGINT), ' kB') WHEN abs({n.sql}) < 10737418240 THEN concat(CAST(round({n.sql} / 1048576) AS BIGINT), ' MB') ELSE concat(CAST(round({n.sql} / 1073741824) AS BIGINT), ' GB') END", "text")
-F["pg_column_size"] = lambda x: E(f"octet_length({as_text(x)})", "int4")
+#: Bytes of a value of a type of fixed length.
+_SIZES = {"bool": 1, "int2": 2, "int4": 4, "int8": 8, "float4": 4, "float8": 8, "date": 4, "timestamp": 8, "timestamptz": 8, "interval": 16, "uuid": 16}
+F["pg_column_size"] = lambda x: E(f"CAST(CASE WHEN {x.sql} IS NOT NULL THEN {_SIZES[x.type]} END AS INT)" if x.type in _SIZES else f"octet_length({as_text(x)})", "int4")
+#: The names of types by their published object ids.
+_OIDS = {
+    16: "boolean", 17: "bytea", 18: "\"char\"", 19: "name", 20: "bigint", 21: "smallint", 23: "integer", 25: "text", 26: "oid", 114: "json", 700: "real", 701: "double precision", 1042: "character",
+    1043: "character varying", 1082: "date", 1083: "time without time zone", 1114: "timestamp without time zone", 1184: "timestamp with time zone", 1186: "interval", 1560: "bit", 1700: "numeric", 2950: "uuid",
+    3614: "tsvector", 3615: "tsquery", 3802: "jsonb", 1000: "boolean[]", 1007: "integer[]", 1009: "text[]", 1016: "bigint[]", 1022: "double precision[]",
+}
+F["format_type"] = lambda oid, *_: E(f"CASE WHEN {oid.sql} IS NOT NULL THEN coalesce(element_at(map({', '.join(f'{k}L, {quoted(v)}' for k, v in _OIDS.items())}), CAST({oid.sql} AS BIGINT)), '???') END", "text")
 F["pg_typeof"] = lambda x: E(quoted(ty.DISPLAY.get((x.type or "text").removesuffix("[]"), (x.type or "text").removesuffix("[]")) + ("[]" if (x.type or "").endswith("[]") else "")), "regtype")
 for _names, _sql, _kind in (
     ("pg_get_expr obj_description col_description shobj_description inet_client_addr inet_server_addr", "CAST(NULL AS STRING)", "text"),
     ("pg_table_is_visible pg_function_is_visible pg_type_is_visible has_table_privilege has_schema_privilege has_column_privilege pg_advisory_unlock pg_try_advisory_lock pg_listening_channels_check", "true", "bool"),
     ("pg_is_in_recovery", "false", "bool"), ("pg_advisory_lock pg_advisory_unlock_all pg_sleep", "CAST(NULL AS STRING)", "void"), ("pg_notification_queue_usage", "0D", "float8"),
     ("pg_total_relation_size pg_relation_size pg_table_size pg_indexes_size pg_database_size", "8192L", "int8"), ("pg_encoding_to_char", "'UTF8'", "name"), ("pg_backend_pid", "1", "int4"),
-    ("txid_current pg_current_xact_id txid_current_if_assigned", "1L", "int8"), ("pg_postmaster_start_time pg_conf_load_time", _NOW, "timestamptz"), ("version", "'PostgreSQL 18 dialect on Spark'", "text"),
-    ("pg_get_userbyid current_user session_user user current_role", "'postgres'", "name"), ("current_database current_catalog", "'postgres'", "name"), ("format_type", "'text'", "text"),
+    ("txid_current pg_current_xact_id", "1L", "int8"), ("txid_current_if_assigned", "CAST(NULL AS BIGINT)", "int8"), ("pg_postmaster_start_time pg_conf_load_time", _NOW, "timestamptz"), ("version", "'PostgreSQL 18 dialect on Spark'", "text"),
+    ("pg_get_userbyid current_user session_user user current_role", "'postgres'", "name"), ("current_database current_catalog", "'postgres'", "name"),
 ):
     for _name in _names.split():
         F[_name] = lambda *_, _s=_sql, _k=_kind: E(_s, _k)
@@ -934,8 +954,9 @@ def aggregate(name: str, args: list[E], star: bool, distinct: bool, order: list[
     return E(f"{name}({', '.join(f'CAST({a.sql} AS DOUBLE)' for a in args)}){tail}", "float8")
 
 
-def over_array(name: str, a: str, x: E, star: bool) -> E:
+def over_array(name: str, a: str, args: list[E], star: bool) -> E:
     """An aggregate over the array of a frame's rows."""
+    x = args[0]
     live = f"filter({a}, v -> v IS NOT NULL)"
     match name:
         case "count":
@@ -945,7 +966,9 @@ def over_array(name: str, a: str, x: E, star: bool) -> E:
             total = f"CASE WHEN size({live}) > 0 THEN aggregate({live}, CAST(0 AS {kind}), (s, v) -> CAST(s + v AS {kind})) END"
             if name == "sum":
                 return E(total, "int8" if x.type in ("int2", "int4") else "numeric" if kind.startswith("DEC") else "float8")
-            return E(f"CAST({total} AS DOUBLE) / nullif(size({live}), 0)", "float8")
+            if kind == "DOUBLE":
+                return E(f"CAST({total} AS DOUBLE) / nullif(size({live}), 0)", "float8")
+            return E(divided(f"CAST({total} AS DECIMAL(38,10))", f"nullif(CAST(size({live}) AS DECIMAL(10,0)), 0)"), "numeric")
         case "min" | "max":
             return E(f"array_{name}({live})", x.type)
         case "array_agg":
@@ -955,7 +978,8 @@ def over_array(name: str, a: str, x: E, star: bool) -> E:
         case "last_value":
             return E(f"get({a}, size({a}) - 1)", x.type)
         case "string_agg":
-            return E(f"array_join({live}, ',')", "text")
+            sep = args[1].sql if len(args) > 1 else "''"
+            return E(f"CASE WHEN size({live}) > 0 THEN array_join({live}, {sep}) END", "text")
     raise SqlError("0A000", f"EXCLUDE with {name}")
 
 

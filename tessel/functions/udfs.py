@@ -381,6 +381,16 @@ def _unescape_bytes(s: str) -> bytes:
     return re.sub(rb"\\(\\|[0-7]{3})", lambda m: b"\\" if m[1] == b"\\" else bytes([int(m[1], 8)]), s.encode())
 
 
+def _substring_similar(s: str, pattern: str, escape: str) -> str | None:
+    """What the part between the two marks (escape and a double quote) matches, the parts around it as short as can be."""
+    parts = pattern.split(escape + '"')
+    if len(parts) != 3:
+        return s if len(parts) == 1 and re.search(regex.similar(pattern, escape), s) else None
+    first, mid, last = (regex.similar(p, escape)[5:-1].replace(".*", ".*?" if j != 1 else ".*") for j, p in enumerate(parts))
+    m = re.fullmatch(f"(?s:{first})({mid}){last}", s, re.S)
+    return m[1] if m else None
+
+
 def _bit_op(op: str, a: str, b: str) -> str:
     if op in ("<<", ">>"):
         n = int(b)
@@ -395,14 +405,14 @@ UDFS: dict[str, tuple[Callable, str]] = {
     "jsonb_contains": (lambda a, b: contains(_loads(a), _loads(b)), "boolean"), "jsonb_concat": (_jsonb_concat, "string"), "jsonb_delete": (_jsonb_delete, "string"),
     "jsonb_delete_keys": (lambda j, ks: jsonb_value({k: v for k, v in x.items() if k not in ks} if isinstance(x := _loads(j), dict) else [v for v in x if v not in ks]), "string"),
     "jsonb_delete_path": (lambda j, p: jsonb_value(json_delete(_loads(j), p)), "string"), "jsonb_set": (lambda j, p, v, c: jsonb_value(json_set(_loads(j), p, _loads(v), c)), "string"), "jsonb_set_lax": (_set_lax, "string"),
-    "jsonb_insert": (lambda j, p, v, a: jsonb_value(json_insert(_loads(j), p, _loads(v), a)), "string"), "json_strip_nulls": (lambda j: jsonb_value(without_nulls(_loads(j))), "string"), "jsonb_pretty": (lambda j: pretty(_loads(j)), "string"),
+    "jsonb_insert": (lambda j, p, v, a: jsonb_value(json_insert(_loads(j), p, _loads(v), a)), "string"), "jsonb_strip_nulls": (lambda j: jsonb_value(without_nulls(_loads(j))), "string"), "json_strip_nulls": (lambda j: json.dumps(without_nulls(_loads(j)), separators=(",", ":"), ensure_ascii=False, default=str), "string"), "jsonb_pretty": (lambda j: pretty(_loads(j)), "string"),
     "jsonpath": (jsonpath, "array<string>"), "json_elements": (_elements, "array<string>"), "json_each": (_each, "array<struct<key:string,value:string>>"), "json_object": (_json_object, "string"),
     "initcap": (lambda s: re.sub(r"[^\W_]+", lambda m: m[0][0].upper() + m[0][1:].lower(), s), "string"), "chr": (chr, "string"), "quote_ident": (_quote_ident, "string"), "quote_literal": (_quote_literal, "string"),
     "format": (_format, "string"), "unistr": (_unistr, "string"), "encode_escape": (lambda b: _escape_bytes(bytes(b)), "string"), "decode_escape": (_unescape_bytes, "binary"), "bit_op": (_bit_op, "string"),
     "regexp_replace": (_regexp_replace, "string"), "regexp_match": (lambda s, p, f: _groups(m) if (m := _compiled(p, f).search(s)) else None, "array<string>"),
     "regexp_matches": (lambda s, p, f: [_groups(m) for m in _compiled(p, f).finditer(s)][: None if "g" in f else 1], "array<array<string>>"),
     "regexp_substr": (lambda s, p, a, n, f: (m[1] if m.re.groups else m[0]) if (m := _nth(s, p, a, n, f)) else None, "string"), "regexp_instr": (_regexp_instr, "int"), "regexp_split": (_regexp_split, "array<string>"),
-    "similar": (lambda s, p: bool(re.search(regex.similar(p), s)), "boolean"), "array_items": (array_items, "array<string>"), "array_text": (_array_text, "string"), "float_text": (float_text, "string"),
+    "substring_similar": (_substring_similar, "string"), "similar": (lambda s, p: bool(re.search(regex.similar(p), s)), "boolean"), "array_items": (array_items, "array<string>"), "array_text": (_array_text, "string"), "float_text": (float_text, "string"),
     "gcd": (math.gcd, "bigint"), "factorial": (lambda n: str(math.factorial(n)), "string"), "erf": (math.erf, "double"), "trig_degrees": (_trig, "double"), "scale": (_scale, "int"),
     "interval_text": (iv.text_of, "string"), "interval": (lambda s: dict(zip(("months", "days", "micros"), iv.parsed(s))), "struct<months:int,days:int,micros:bigint>"),
     "to_timestamp": (datetimes.read, "string"), "to_char_time": (datetimes.shown, "string"), "to_char_number": (datetimes.number, "string"), "to_char_interval": (datetimes.interval, "string"),

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a top-n whose keys are sent to all executors, at most.
+FEW = 100_000
+
+
 def ordered(column: str | Column, descending: bool = False, nulls_first: bool | None = None) -> Column:
     """A sort key with the dialect's placing of NULL: last ascending, first descending."""
     c = F.col(column) if isinstance(column, str) else column
@@ -22,11 +26,15 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 
 def with_ties(df: DataFrame, n: int, order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """The first n rows and all that tie with the last: a top-n, then a semi join with its keys, of which there are n at most."""
+    """The first n rows and all that tie with the last: a top-n, then a semi join with its keys, of which there are n at most.
+
+    They are sent to all executors only where n is small; beyond that the join is left to the optimizer.
+    """
     keys = [c for c, _ in order]
-    first = df.select(*[F.col(c).alias(f"__{c}") for c in keys]).orderBy(*[ordered(f"__{c}", d) for c, d in order]).limit(n)
+    first = df.select(*[F.col(c).alias(f"__{c}") for c in keys]).orderBy(*[ordered(f"__{c}", d) for c, d in order]).limit(n).distinct()
+    first = F.broadcast(first) if n <= FEW else first
     on = [df[c].eqNullSafe(first[f"__{c}"]) for c in keys]
-    return df.join(F.broadcast(first), on, "left_semi").orderBy(*[ordered(c, d) for c, d in order])
+    return df.join(first, on, "left_semi").orderBy(*[ordered(c, d) for c, d in order])
 
 
 def groups_frame(value: Column, partition: Sequence[str], order: str, before: int, after: int, df: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessel.plans import functions, statements
 from tessel.session import Session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -103,7 +104,7 @@ SAME: dict[str, str] = {
     "setop_union_all": "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region",
     "setop_intersect": "SELECT n_regionkey AS k FROM nation INTERSECT SELECT r_regionkey + 2 FROM region",
     "setop_intersect_all": "SELECT l_linenumber AS k FROM lineitem INTERSECT ALL SELECT n_regionkey FROM nation",
-    "setop_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey < 20",
+    "setop_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
     "setop_except_all": "SELECT l_linenumber AS k FROM lineitem EXCEPT ALL SELECT n_regionkey FROM nation",
     "cte_basic": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE n > 12) SELECT t.o_custkey, t.n, c.c_name FROM top t JOIN customer c ON c.c_custkey = t.o_custkey",
     "cte_recursive_series": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t",
@@ -224,8 +225,11 @@ def _scripted(script: str, text: str) -> Callable[[SparkSession, str], DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _query(v) for k, v in SAME.items()} | {k: _query(v) for k, (v, _) in PAIRS.items()} | {k: _scripted(a, b) for k, (a, b, _) in SCRIPTS.items()}
+    same, pairs, scripts = SAME | functions.SAME, PAIRS | functions.PAIRS, SCRIPTS | statements.SCRIPTS
+    found = {k: _query(v) for k, v in same.items()} | {k: _query(v) for k, (v, _) in pairs.items()} | {k: _scripted(a, b) for k, (a, b, _) in scripts.items()}
+    return found | {k: f for k, (f, _) in statements.CALLS.items()}
 
 
 def oracles() -> dict[str, str]:
-    return dict(SAME) | {k: v for k, (_, v) in PAIRS.items()} | {k: v for k, (_, _, v) in SCRIPTS.items()}
+    same, pairs, scripts = SAME | functions.SAME, PAIRS | functions.PAIRS, SCRIPTS | statements.SCRIPTS
+    return same | {k: v for k, (_, v) in pairs.items()} | {k: v for k, (_, _, v) in scripts.items()} | {k: v for k, (_, v) in statements.CALLS.items()}

@@ -14,7 +14,7 @@ from tessel.errors import SqlError
 from tessel.functions import library
 from tessel.functions.library import E
 from tessel.store import procedural
-from tessel.store.registry import Table, stored
+from tessel.store.registry import numbered, stored, Table
 
 
 def assigned(x: E, kind: str | None, mods: list[int], tr: Translator) -> str:
@@ -68,6 +68,7 @@ def insert(session: Any, n: N, tr: Translator) -> tuple[int, DataFrame | None]:
     given: list[str] = []
     parts: list[str] = []
     serials = {c: s for c, s in t.sequences.items()}
+    serials |= {c: tr.ex(d.args[0], Scope()).value for c, d in t.defaults.items() if c not in serials and d.kind == "call" and d.name == "nextval"}
     if n.query is None:
         rows_sql, given = "SELECT 1 AS __one", []
         sources = [(rows_sql, {})]
@@ -89,13 +90,15 @@ def insert(session: Any, n: N, tr: Translator) -> tuple[int, DataFrame | None]:
                         cells[c] = assigned(tr.ex(e, scope), dict(t.cols)[c], t.mods.get(c, []), tr)
                 sources.append(("", cells))
         else:
+            query, marks = session.without_nextval(query, tr)
             q = tr.query(query, tr_ctes)
+            serials |= {c: marks[name] for c, (name, _) in zip(target, q.cols) if name in marks}
             if len(q.cols) > len(target):
                 raise SqlError("42601", "INSERT has more expressions than target columns")
             if n.columns and len(q.cols) < len(n.columns):
                 raise SqlError("42601", "INSERT has more target columns than expressions")
             names = [f"q{j}" for j in range(len(q.cols))]
-            cells = {c: assigned(E(f"__q.{x}", k), dict(t.cols)[c], t.mods.get(c, []), tr) for c, x, (_, k) in zip(target, names, q.cols)}
+            cells = {c: assigned(E(f"__q.{x}", k), dict(t.cols)[c], t.mods.get(c, []), tr) for c, x, (name, k) in zip(target, names, q.cols) if name not in marks}
             sources.append((f"FROM ({q.sql}) AS __q({', '.join(names)})", cells))
     for from_sql, cells in sources:
         out = []
@@ -103,26 +106,18 @@ def insert(session: Any, n: N, tr: Translator) -> tuple[int, DataFrame | None]:
             if c in cells:
                 out.append(f"CAST({cells[c]} AS {_typed(t, c)}) AS {tick(c)}" if not (dict(t.cols)[c] == "numeric" and not t.mods.get(c)) else f"CAST({cells[c]} AS DECIMAL(38,10)) AS {tick(c)}")
             elif c in serials:
-                value = f"CAST({session.registry.sequence(serials[c]).next()} AS {_typed(t, c)})" if not from_sql else f"CAST(NULL AS {_typed(t, c)})"
+                value = f"CAST({session.nextval(serials[c])} AS {_typed(t, c)})" if not from_sql else f"CAST(NULL AS {_typed(t, c)})"
                 out.append(f"{value} AS {tick(c)}")
             else:
                 out.append(f"CAST({_default(session, t, c, tr, None)} AS {_typed(t, c)}) AS {tick(c)}")
         parts.append(f"SELECT {', '.join(out)} {from_sql if from_sql.startswith('FROM') else ''}")
     new = stored(_frame(session, head + " UNION ALL ".join(parts)))
-    for c, s in serials.items():  # rows of a query: numbers in bulk; a sequence may have gaps
-        if any(f.startswith("FROM") and c not in cells for f, cells in sources):
-            count = new.count()
-            seq = session.registry.sequence(s)
-            if count:
-                first = seq.next(count)
-                local = new.collect() if count <= 1000 else None
-                if local is not None:
-                    i = new.columns.index(c)
-                    new = session.spark.createDataFrame([(*r[:i], first + j * seq.increment, *r[i + 1 :]) for j, r in enumerate(local)], new.schema)
-                else:
-                    at = F.monotonically_increasing_id()
-                    new = stored(new.withColumn(c, (F.lit(first) + at * seq.increment).cast(new.schema[c].dataType)))
-                    seq.last = int(new.agg(F.max(c)).first()[0])
+    if late := {c: s for c, s in serials.items() if any(f.startswith("FROM") and c not in cells for f, cells in sources)}:
+        new, count = numbered(new, "__nth")
+        for c, s in late.items() if count else ():
+            first, by = session.nextval(s, count), session.registry.sequence(s).increment
+            new = new.withColumn(c, F.expr(f"{first} + __nth * {by}").cast(new.schema[c].dataType))
+        new = stored(new.drop("__nth"))
     new = _with_generated(session, t, new, tr)
     new = procedural.before(session, t, new, None, "insert", tr)
     touched = new
@@ -307,7 +302,7 @@ def check(session: Any, t: Table, tr: Translator, path: list[str], referenced: b
             cond = f" WHERE {' AND '.join(where)}" if where else ""
             if not session.spark.sql(f"SELECT 1 FROM {view} AS __n{cond} GROUP BY {', '.join(exprs)} HAVING count(*) > 1").isEmpty():
                 raise SqlError("23505", f'duplicate key value violates unique constraint "{c.name}"')
-        elif c.kind == "foreign":
+        elif c.kind == "foreign" and not (c.deferred and session.stack):
             parent = session.registry.table(c.path)
             to = c.to or next(u.columns for u in parent.constraints if u.kind == "unique" and u.primary)
             keys = t.df.select(*[F.col(tick(a)).alias(b) for a, b in zip(c.columns, to)])

@@ -8,7 +8,8 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessel.dialect.parser import N
 from tessel.errors import SqlError
@@ -17,20 +18,43 @@ from tessel.errors import SqlError
 LOCAL_ROWS = 1000
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder that the cluster names; one on this machine only where all runs on it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that all machines share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/tessel-store/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df computed once: a local relation if it is small, else a Parquet table in the cluster's shared folder."""
     spark = df.sparkSession
     rows = df.take(LOCAL_ROWS + 1)
     if len(rows) <= LOCAL_ROWS:
         return spark.createDataFrame(rows, df.schema, verifySchema=False) if rows else spark.createDataFrame([], df.schema)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/tessel-store"
-    path = f"{base.rstrip('/')}/tessel-store/{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(df with a column of gapless numbers from 0, how many): a row's place in its partition after the rows of those before.
+
+    No shuffle of the rows: what reaches the driver, and goes out again, is a count for each partition.
+    """
+    at = f"__at_{uuid.uuid4().hex}"
+    held = stored(df.withColumn(at, F.monotonically_increasing_id()))
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    first, total = [], 0
+    for p, n in sorted((r[0], r[1]) for r in held.groupBy(part.alias("p")).count().collect()):
+        first.append((p, total))
+        total += n
+    before = df.sparkSession.createDataFrame(first, "__p long, __first long")
+    return held.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, F.col("__first") + place).drop("__p", "__first", at), total
+
+
 @dataclass
 class Sequence:
     name: str
