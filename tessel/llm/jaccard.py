@@ -23,7 +23,7 @@ they were measured, differ by no more than 1 - t, since 1 - Jaccard is a metric.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +39,8 @@ BITS = 1024
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of a side that is sent to all executors, at most (8 to 24 bytes a row).
 SMALL = 300_000
+#: Rows of the sample that finds hot tokens, at most, and the share of them that makes a token hot.
+HOT_ROWS, HOT_SHARE = 20_000, 0.002
 #: Rows of a key in one block of comparisons, about.
 BLOCK = 500
 #: Hundredths of a set's size that l adds to 1 in the filters by hash.
@@ -232,21 +234,22 @@ def grouped(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
     copies = of_class.filter("cls <> row").select("row")
     reps = full.select("row", "n", "pre").join(_light(copies, copies.count()), "row", "left_anti")
 
-    active = written(_active(reps, s).join(of_class.select("row", "doc_id", "fp", "n"), "row"), "jaccard-active")
+    active = written(_active(reps, of_class.count(), s).join(of_class.select("row", "doc_id", "fp", "n"), "row"), "jaccard-active")
     removed(rows)  # its prefixes have served
     del rows, full, reps
-    sets = written(sets_of(docs, active, active.count(), s, text, doc_id), "jaccard-sets")
+    n_active = active.count()
+    sets = written(sets_of(docs, active, n_active, s, text, doc_id), "jaccard-sets")
     tidied(docs.sparkSession)
-    keys = written(_keys(sets, active.select("row", "n"), s), "jaccard-keys")  # tok, row, n, s
+    keys, hot = _keys(sets, active.select("row", "n"), n_active, s)
+    keys = written(keys, "jaccard-keys")  # tok, row, n, s
     tidied(docs.sparkSession)
 
     leaders = keys.groupBy("tok").agg(F.min(F.struct(F.expr("n - s").alias("u"), "row")).getField("row").alias("a"), F.count("*").alias("c")).filter("c > 1").select("tok", "a")
-    leaders = written(leaders, "jaccard-leaders")
-    met = keys.join(_light(leaders, leaders.count()), "tok")
+    met = _routed(keys, written(leaders, "jaccard-leaders"), hot)
     pairs = written(met.filter("row <> a").select("a", F.col("row").alias("b")).distinct(), "jaccard-met")
     star = linked(pairs, sets, s, "jaccard-star")
     labels = components(star.filter("linked"))
-    more = linked(_rest(met, pairs.join(star, ["a", "b"], "left"), labels, sets, s), sets, s, "jaccard-more").filter("linked")
+    more = linked(_rest(met, pairs.join(star, ["a", "b"], "left"), labels, sets, hot, s), sets, s, "jaccard-more").filter("linked")
     if not more.isEmpty():
         labels = components(star.filter("linked").select("a", "b").union(more.select("a", "b")))
     removed(sets)
@@ -290,23 +293,46 @@ def deduplicated(docs: DataFrame, s: Settings = Settings(5, 80), text: str = "te
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _shared(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+def _hot(tokens: Callable[[DataFrame], DataFrame], rows: DataFrame, n: int) -> DataFrame:
+    """tok, df of the tokens that many rows have, by a sample of rows: HOT_ROWS at most, chosen by hash.
+
+    It decides only how rows travel: those of hot tokens stay where they are. df is an estimate, the same for all rows; a
+    token that the sample has more than once is shared. What a row has at most bounds how many are hot.
+    """
+    rate = min(1.0, HOT_ROWS / max(n, 1))
+    some = rows.filter(F.pmod(F.xxhash64("row", F.lit(77)), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20))))
+    least = max(20, int(min(n, HOT_ROWS) * HOT_SHARE))
+    found = tokens(some).groupBy("tok").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+    return written(found.withColumn("df", (F.col("df") / F.lit(rate)).cast("long")), "jaccard-hot")
+
+
+def _routed(big: DataFrame, small: DataFrame, hot: DataFrame) -> DataFrame:
+    """big joined with small by tok: rows of hot tokens meet a copy of small's few rows for them, all others are shuffled."""
+    toks = F.broadcast(hot.select("tok"))
+    return big.join(F.broadcast(small.join(toks, "tok", "left_semi")), "tok").unionByName(big.join(toks, "tok", "left_anti").join(small, "tok"))
+
+
+def _shared(tokens: DataFrame, hot: DataFrame) -> DataFrame:
+    """The tokens (tok, ...) that more than one row has, with df; those of a hot token are not shuffled."""
+    rest = tokens.join(F.broadcast(hot.select("tok")), "tok", "left_anti")
+    counted = rest.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+    return tokens.join(F.broadcast(hot), "tok").unionByName(rest.join(counted, "tok"))
 
 
 def _overlap(s: Settings):
     return F.floor((s.percent * F.col("n") + 99) / 100)
 
 
-def _active(reps: DataFrame, s: Settings) -> DataFrame:
+def _active(reps: DataFrame, n: int, s: Settings) -> DataFrame:
     """row of the classes that pass the first filter."""
-    tokens = reps.select("row", F.explode("pre").alias("tok"))
-    count = tokens.join(_shared(tokens), "tok").groupBy("row").agg(F.count("*").alias("own"))
+    tokens = lambda df: df.select("row", F.explode("pre").alias("tok"))
+    count = _shared(tokens(reps), _hot(tokens, reps, n)).groupBy("row").agg(F.count("*").alias("own"))
     return count.join(reps.select("row", "n"), "row").filter(F.col("own") >= 1 + F.floor(_overlap(s) * WIDE / 100)).select("row")  # l of the smallest partner
 
 
-def _keys(sets: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
-    """tok, row, n, s: the shingles, rare ones first, through which a class may meet a partner; s: shingles it shares with any."""
+def _keys(sets: DataFrame, sizes: DataFrame, n: int, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(tok, row, n, s: the shingles, rare ones first, through which a class may meet a partner; the hot tokens). s: shingles it
+    shares with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,16 +340,17 @@ def _keys(sets: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in whole]), pa.int32()), pa.array(np.concatenate(whole)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "all"])
 
-    tokens = arrow_map(sets.select("row", "set"), run, "row long, all array<long>").select("row", F.explode("all").alias("tok"))
-    by_row = tokens.join(_shared(tokens), "tok").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("own"))  # bounded by the text
+    tokens = lambda df: arrow_map(df.select("row", "set"), run, "row long, all array<long>").select("row", F.explode("all").alias("tok"))
+    hot = _hot(tokens, sets, n)
+    shared = _shared(tokens(sets), hot)
+    by_row = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("own"))  # bounded by the text
     count = F.size("own") - _overlap(s) + 1
     kept = by_row.join(sizes, "row").filter(count > 0)
     keys = kept.select("row", "n", F.size("own").cast("long").alias("s"), F.explode(F.slice("own", 1, count.cast("int"))).alias("k")).select(F.col("k.tok").alias("tok"), "row", "n", "s")
-    alone = keys.groupBy("tok").agg(F.count("*").alias("c")).filter("c = 1").select("tok")
-    return keys.join(alone, "tok", "left_anti")
+    return keys, hot
 
 
-def _rest(met: DataFrame, star: DataFrame, labels: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _rest(met: DataFrame, star: DataFrame, labels: DataFrame, sets: DataFrame, hot: DataFrame, s: Settings) -> DataFrame:
     """Pairs, not in the star, of different components that share a key and may link by size, shared shingles and distance.
 
     The intersection has at most min(s) shingles, and the sets differ in at least as many as their parity maps do: both
@@ -339,7 +366,7 @@ def _rest(met: DataFrame, star: DataFrame, labels: DataFrame, sets: DataFrame, s
     here = here.join(star, ["a", "row"])
     open_keys = here.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.when(~F.col("linked"), 1)).alias("left")).filter("lo < hi and left > 0")
     open_keys = open_keys.select("tok", F.ceil(F.col("left") / BLOCK).cast("int").alias("blocks"))
-    here = here.join(open_keys, "tok").join(sets.select("row", "bits"), "row")
+    here = _routed(here, open_keys, hot).join(sets.select("row", "bits"), "row")
     here = written(here.select("tok", "row", "n", "s", "comp", "dist", "linked", "bits", "blocks"), "jaccard-open")
     x, y = (here.select("tok", "blocks", *[F.col(c).alias(f"{k}_{c}") for c in ("row", "n", "s", "comp", "dist", "linked", "bits")]) for k in "xy")
     x = x.filter("not x_linked").withColumn("block", F.pmod(F.xxhash64("x_row"), "blocks").cast("int")).drop("blocks")
