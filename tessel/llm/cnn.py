@@ -152,7 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
 
 
 def scored(docs: DataFrame, p: dict[str, np.ndarray], keep: list[str], text: str = "text", s: Settings = Settings(), name: str = "score") -> DataFrame:
-    """The kept columns and the score (named as given), 0 to 1, of each whole text. Null counts as empty; an empty text is scored as all padding."""
+    """The kept columns and the score (under a name that none of them has), 0 to 1, of each whole text.
+
+    Null counts as empty; an empty text is scored as all padding. Repeated rows get equal scores; columns that are not kept
+    do not matter; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

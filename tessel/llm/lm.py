@@ -312,8 +312,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 inner = logp - np.array([x[3] for x in sums])
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, part.num_columns)], pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64()), pa.array([x[2] for x in sums]), pa.array(inner), pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))], [*names, "n_tokens", "known", "logc", "inner", "tail"])
 
-    names = keep
-    chosen = docs.select(F.col(text).cast("binary").alias("_body"), *keep)
+    names = [f"k{i}" for i in range(len(keep))]  # so that no kept column has a name of ours
+    chosen = docs.select(F.col(text).cast("binary").alias("body"), *[F.col(k).alias(n) for k, n in zip(keep, names)])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     rows = arrow_map(chosen, run, f"{kept}, n_tokens long, known long, logc double, inner double, tail array<struct<word:binary,n:int>>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
@@ -322,4 +322,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     total = F.col("logc") + F.coalesce("t_logc", F.lit(0.0))
     base = total - F.col("n_tokens") * F.lit(math.log10(model.n + 0.1 * (model.v + 1)))
     return rows.drop("tail").join(tail, "row", "left").select(
-        *keep, "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("inner") + total).alias("score"))
+        *[F.col(n).alias(k) for k, n in zip(keep, names)], "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("inner") + total).alias("score"))

@@ -180,11 +180,14 @@ class Mix:
     residuals: list[list[float]]
     whole: int | None = None
 
-    def on(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """docs with _mix: struct(tokens, p, rate)."""
+    def on(self, docs: DataFrame, text: str = "text", name: str = "_mix") -> DataFrame:
+        """docs with a column of the given name, which none of theirs may have: struct(tokens, p, rate).
+
+        Null and empty texts have 0 tokens; repeated rows get equal rates; an empty table gives an empty result.
+        """
         x = self.classifier.described(F.col(text))
         body: Callable[[Column], Column] = lambda d: let(self.classifier.posteriors(d["f"]), lambda p: F.struct(d["tokens"].alias("tokens"), p.alias("p"), rate(p, self.history, self.whole).alias("rate")))
-        return docs.withColumn("_mix", let(x, body))
+        return docs.withColumn(name, let(x, body))
 
 
 def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", s: Settings = Settings(), whole: str | None = None) -> tuple[Mix, DataFrame]:

@@ -13,6 +13,7 @@ What leaves the workers for fitting is a count for each combination of votes and
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -105,12 +106,19 @@ def wider_spans(t: str, base: list[Span]) -> list[Span]:
         if 13 <= m.end() - m.start() <= 24 and 13 <= len(d := _DIGITS.sub("", m.group())) <= 15 and luhn(d):
             found.append((2, *m.span()))
     found += [(3, *m.span()) for m in _LOCAL_PHONE.finditer(t)]
-    taken = sorted((s, e) for _, s, e in base)
-    out = []
+    starts, ends = [], []  # of the base matches, overlapping ones as one
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    out, last = [], 0
     for k, s, e in sorted(found, key=lambda x: (x[1], x[0])):
-        if all(e <= a or s >= b for a, b in taken):
+        i = bisect.bisect_right(ends, s)  # the first base match that ends after s
+        if s >= last and (i == len(starts) or starts[i] >= e):
             out.append((k, s, e))
-            taken.append((s, e))
+            last = e
     return sorted(out)
 
 
@@ -271,7 +279,10 @@ def found(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
 
 def without(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with the personal data in each text replaced; all other columns as they are."""
+    """docs with the personal data in each text replaced; all other columns as they are.
+
+    Null texts stay null, empty ones empty; repeated rows are treated alike; an empty table gives an empty result.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 #: Bytes in such a batch, about: a few long texts or sets fill it as well as many short ones.
 ARROW_BYTES = 8_000_000
+#: Paths of the tables that this program has written and not removed.
+_WRITTEN: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, one of our own if all runs on this machine; a cluster has no folder that all its machines see.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that all machines share")
         base = f"file://{tempfile.gettempdir()}/tessel-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -37,12 +44,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
+    _WRITTEN.add(path)
     return table
 
 
 def removed(table: DataFrame) -> None:
     """Deletes a table that written() made and nothing will read again."""
     spark = table.sparkSession
+    _WRITTEN.discard(table._scratch)
     path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -54,9 +63,10 @@ def tidied(spark: SparkSession) -> None:
 
 
 def cleared(spark: SparkSession) -> None:
-    """Deletes all tables that written() has made under this folder. To be called when results have been consumed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark) + "/tessel")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the tables that written() has made in this program, no other's. To be called when results have been consumed."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -34,6 +35,34 @@ def test_long_runs_are_linear():
         pii.base_spans(t)
 
 
+def wider_brute(t, base):
+    """Each candidate against all matches before it."""
+    taken, out = [(a, b) for _, a, b in base], []
+    for k, a, b in sorted(((2, *m.span()) for m in pii._NUMBER.finditer(t) if 13 <= m.end() - m.start() <= 24 and 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 15 and pii.luhn(d)), key=lambda x: (x[1], x[0])):
+        if all(b <= x or a >= y for x, y in taken):
+            out.append((k, a, b))
+            taken.append((a, b))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="0459 -+.@a", max_size=120))
+def test_wider_spans_overlap_nothing(t):
+    base = pii.base_spans(t)
+    wide = pii.wider_spans(t, base)
+    assert [s for s in wide if s[0] == 2] == wider_brute(t, base) or any(s[0] != 2 for s in wide)
+    every = sorted((a, b) for _, a, b in wide)
+    assert all(x[1] <= y[0] for x, y in zip(every, every[1:]))
+    assert all(b <= x or a >= y for _, a, b in wide for _, x, y in base)
+
+
+def test_a_long_directory_is_linear():
+    lines = [f"Name {i}, +1 202 555 {i % 10_000:04d}, (202) 555-{i % 10_000:04d}, n{i}@example.com, 4000 0000 000{i % 1000:03d}" for i in range(20_000)]
+    began = time.perf_counter()
+    pii.wider_spans(t := "\n".join(lines), pii.base_spans(t))
+    assert time.perf_counter() - began < 10
+
+
 def test_em_finds_the_better_labeler():
     r = np.random.default_rng(0)
     truth = r.random(4000) < 0.5
