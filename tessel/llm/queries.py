@@ -43,7 +43,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judged(table(spark, sf_dir, "documents"), ["doc_id"]).drop("rejected_by")
+    return rules.judged(table(spark, sf_dir, "documents"), ["doc_id"]).drop("rejected_by", "n_distinct")
 
 
 #: Shares of all tokens that the mix should have of each domain of the labelled table.

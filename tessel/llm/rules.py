@@ -40,8 +40,9 @@ def duplicate_lines(text: Column) -> Column:
     return F.when(F.instr(text, "\n") > 0, found).otherwise(F.lit(0).cast("long"))
 
 
-def repeated_words(w: Column, n: int = 5) -> Column:
-    """Words in windows of n words that occur twice or more in the text, the first occurrence included. w: the words.
+def repeated_words(w: Column, distinct: Column, n: int = 5) -> Column:
+    """Words in windows of n words that occur twice or more in the text, the first occurrence included. w: the words; distinct:
+    how many different ones.
 
     Windows are compared by 64-bit hash. Where a window occurs again, each of its words has occurred before, so texts with
     fewer than n repeated words stop at once. Texts whose windows are all distinct, nearly all others, stop there; in the
@@ -59,15 +60,24 @@ def repeated_words(w: Column, n: int = 5) -> Column:
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(let(pairs, twice))
 
     grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
-    return F.when((F.size(w) <= n) | (F.size(w) - F.size(F.array_distinct(w)) < n), F.lit(0).cast("long")).otherwise(let(grams, covered))
+    return F.when((F.size(w) <= n) | (F.size(w) - distinct < n), F.lit(0).cast("long")).otherwise(let(grams, covered))
 
 
 def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text, in one scan."""
+    """The kept columns and the FIGURES of each text, in one scan; its words are cut once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    stats = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
-    return docs.select(*keep, stats.alias("s"), symbols(t).alias("n_symbols"), duplicate_lines(t).alias("n_dup_lines")).select(
-        *keep, "s.n_words", "s.word_chars", "n_symbols", "n_dup_lines", "s.n_repeat_words")
+
+    def of_words(w: Column, d: Column) -> Column:
+        chars = F.length(F.array_join(w, "")).cast("long")
+        return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), d.cast("long").alias("n_distinct"), repeated_words(w, d).alias("n_repeat_words"))
+
+    stats = let(words(t), lambda w: let(distinct(w), lambda d: of_words(w, d)))
+    found = docs.select(*keep, stats.alias("s"), symbols(t).alias("n_symbols"), duplicate_lines(t).alias("n_dup_lines"))
+    return found.select(*keep, "s.n_words", "s.word_chars", "n_symbols", "n_dup_lines", "s.n_repeat_words", "s.n_distinct")
+
+
+def distinct(w: Column) -> Column:
+    return F.size(F.array_distinct(w))
 
 
 def symbols(text: Column) -> Column:
@@ -80,7 +90,8 @@ FIGURES: dict[str, Callable[[Column], Column]] = {
     "word_chars": lambda t: F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long"),
     "n_symbols": symbols,
     "n_dup_lines": duplicate_lines,
-    "n_repeat_words": lambda t: let(words(t), lambda w: repeated_words(w)),
+    "n_repeat_words": lambda t: let(words(t), lambda w: repeated_words(w, distinct(w))),
+    "n_distinct": lambda t: distinct(words(t)).cast("long"),
 }
 
 
@@ -120,7 +131,7 @@ RULES: Rules = {
     "few_letters": lambda t: 10 * F.length(F.regexp_replace(t.text, r"[^A-Za-z\x{80}-\x{10FFFF}]+", "")) < 3 * t.word_chars,
     "bullets": lambda t: _lines(t, lambda a: _mostly(a, r"^[ \t]*([-*]|\x{2022})", 9)),
     "ellipses": lambda t: _lines(t, lambda a: _mostly(a, r"(\.\.\.|\x{2026})[ \t\r]*$", 5)),
-    "few_distinct": lambda t: let(words(t.text), lambda w: (F.size(w) >= 50) & (F.size(F.array_distinct(w)) < 10)),
+    "few_distinct": lambda t: (t.n_words >= 50) & (t.n_distinct < 10),
 }
 
 
