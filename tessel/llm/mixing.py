@@ -15,6 +15,7 @@ stored by document between iterations.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from tessel.llm.shared import written
 @dataclass
 class Settings:
     """sample: labelled documents that the classifier learns from, at most; lexicon: words of a domain at most; tolerance: of a
-    domain's total, as a share of all tokens; ridge: pull of the rates to 1, which bounds them where a domain that has
+    domain's total, as a share of all tokens; missed: such a share that is warned of; ridge: pull of the rates to 1, which bounds them where a domain that has
     hardly any tokens has a target."""
 
     sample: int = 8000
@@ -37,6 +38,7 @@ class Settings:
     iterations: int = 25
     tolerance: float = 1e-7
     ridge: float = 1e-4
+    missed: float = 1e-3
 
 
 def _numbers(values: list[float]) -> Column:
@@ -164,6 +166,9 @@ def solved(rows: DataFrame, targets: list[float], s: Settings = Settings(), whol
         d = np.linalg.solve(metric, slope)
         steps.append(d.tolist())
         moved, was = moved + d, size
+    else:
+        if max(map(abs, residuals[-1]), default=0) > s.missed:
+            warnings.warn(f"mixing: after {s.iterations} steps the shares miss their targets by {[round(x, 4) for x in residuals[-1]]}", stacklevel=2)
     return steps, residuals
 
 

@@ -34,7 +34,7 @@ def test_gradients_are_those_of_the_loss():
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
     d = cnn.gradients(p, x, first, sizes, y, s)
-    for k in ("W", "b", "A", "D", "d"):
+    for k in ("E", "W", "b", "A", "a", "D", "d"):
         at = np.unravel_index(np.abs(d[k]).argmax(), d[k].shape)
         keep = p[k][at]
         p[k][at] = keep + 1e-3
@@ -45,6 +45,17 @@ def test_gradients_are_those_of_the_loss():
         assert (up - down) / 2e-3 == pytest.approx(float(d[k][at]), rel=0.08, abs=2e-4)
 
 
+def test_pooled_is_the_slow_convolution():
+    s = cnn.Settings(filters=4, embed=3, width=3, chunk=20, step=16)
+    p = cnn.start(s)
+    x = cnn.chunks(b"some text of a few words, longer than a chunk of it", s)
+    got, where = cnn.pooled(p, x, s, True)
+    for i, chunk in enumerate(x):
+        for f in range(s.filters):
+            at = [sum(float(p["E"][chunk[j + w]] @ p["W"][w][:, f]) for w in range(s.width)) + float(p["b"][f]) for j in range(s.chunk)]
+            assert got[i, f] == pytest.approx(max(at), abs=1e-5) and at[where[i, f]] == pytest.approx(max(at), abs=1e-5)
+
+
 def test_learns_and_holds_out():
     r = random.Random(0)
     good = [" ".join(cases.words(r, r.randint(20, 300))).encode() for _ in range(150)]
