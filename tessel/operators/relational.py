@@ -63,9 +63,28 @@ def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str], update: dict[s
     return merged.unionByName(inserted)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str]) -> DataFrame:
-    """For each left row the right row of its keys with the latest time not after its own: one union, one window, no join."""
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], split: int = 32) -> DataFrame:
+    """For each left row the right row of its keys with the latest time not after its own: one union, one window, no join of rows.
+
+    A key with very many rows is dealt out by time, at about `split` quantiles of all times: the window runs over a key's rows of
+    one stretch, and what comes before it is one row for each key and stretch.
+    """
     both = left.withColumn("__left", F.lit(True)).unionByName(right.select(*keys, time, *columns).withColumn("__left", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(time), F.col("__left")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = F.last(F.when(~F.col("__left"), F.struct(*columns)), ignorenulls=True).over(w)
-    return both.withColumn("__row", row).filter("__left").select(*left.columns, *[F.col(f"__row.{c}").alias(c) for c in columns])
+    bounds = both.agg(F.percentile_approx(time, [i / split for i in range(1, split)], 1000)).first()[0] if split > 1 else None
+    kind = both.schema[time].dataType
+
+    def stretch_of(t: Column) -> Column:  # sums of plain comparisons: how many bounds a time has reached
+        return F.coalesce(sum((F.when(t >= F.lit(b).cast(kind), 1).otherwise(0) for b in dict.fromkeys(bounds or ())), F.lit(0)), F.lit(0))
+
+    both = both.withColumn("__part", stretch_of(F.col(time)))
+    within = Window.partitionBy(*keys, "__part").orderBy(F.col(time), F.col("__left")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("__row", F.last(F.when(~F.col("__left"), F.struct(*columns)), ignorenulls=True).over(within)).filter("__left")
+    if bounds:
+        stretch = right.select(*keys, time, *columns).withColumn("__part", stretch_of(F.col(time))).groupBy(*keys, "__part").agg(F.max_by(F.struct(*columns), time).alias("__end"))
+        asked = both.select(*keys, "__part").distinct().withColumn("__end", F.lit(None).cast(stretch.schema["__end"].dataType)).withColumn("__asked", F.lit(True))
+        seen = stretch.withColumn("__asked", F.lit(False)).unionByName(asked)
+        earlier = Window.partitionBy(*keys).orderBy("__part").rangeBetween(Window.unboundedPreceding, -1)
+        carried = seen.withColumn("__before", F.last("__end", ignorenulls=True).over(earlier)).filter("__asked").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), "__before")
+        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__part") == F.col("__p")]
+        both = both.join(carried, on, "left").withColumn("__row", F.coalesce("__row", "__before"))
+    return both.select(*left.columns, *[F.col(f"__row.{c}").alias(c) for c in columns])

@@ -31,6 +31,19 @@ def test_upsert_and_as_of(spark):
     assert rows(rel.as_of(trades, quotes, ["s"], "t", ["q"])) == [("x", 0, None), ("x", 1, 10), ("x", 7, 50), ("y", 3, None)]
 
 
+def test_as_of_with_one_hot_key(spark):
+    """Whatever the number of stretches, and with ties at their edges, the result is that of a loop."""
+    trades = [("hot" if i % 10 else "cold", i // 3) for i in range(200)] + [(None, 5), ("none", 9)]
+    quotes = [("hot", t, t * 10) for t in (0, 7, 7 + 20, 40)] + [("cold", 30, 1), (None, 3, 2)]
+    want = []
+    for s, t in trades:
+        found = [q for k, u, q in quotes if k == s and u <= t]
+        want.append((s, t, found[-1] if found else None))
+    a, b = spark.createDataFrame(trades, "s string, t int"), spark.createDataFrame(quotes, "s string, t int, q int")
+    for split in (1, 2, 32):
+        assert rows(rel.as_of(a, b, ["s"], "t", ["q"], split)) == sorted(want, key=repr)
+
+
 def test_windows_in_batch_and_stream(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     data = [(t0 + dt.timedelta(minutes=m), "u", m) for m in (0, 1, 6, 30)]
