@@ -27,6 +27,10 @@ SAME: dict[str, str] = {
     "agg_every": "SELECT l_linestatus, every(l_quantity > 0) AS a, every(l_tax > 0.01) AS b FROM lineitem GROUP BY l_linestatus".replace("every", "bool_and"),
     "op_like_symbols": "SELECT p_partkey, p_name ~~ '%widget' AS a, p_name ~~* 'COLD%' AS b, p_name !~~ '%bolt' AS c, p_name !~~* 'SMALL%' AS d FROM part",
     "op_interval_times": "SELECT event_id, ts + INTERVAL '90 minutes' * 2 AS a, ts - INTERVAL '1 day' * 3 AS b FROM events",
+    "win_exclude_sums": """SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS n,
+        sum(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW)::bigint AS s FROM lineitem""",
+    "win_exclude_peers": """SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber RANGE BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS n,
+        sum(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES)::bigint AS s FROM lineitem""",
     "fetch_first": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 7 ROWS ONLY",
     "group_by_nothing": "SELECT count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY ()",
     "op_array_query": "SELECT r_regionkey, array_to_string(ARRAY(SELECT n_nationkey FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_nationkey), ',') AS a FROM region",
