@@ -14,6 +14,26 @@ def test_arc_versions_cut_by_declared_length():
         list(warc.arc_records(warc.arc_file([("u", b"12345")], 1)[:-2]))
 
 
+def test_dates_addresses_and_ids_follow_the_arc_lines():
+    """Files as others write them: each record's own date and address, in both versions."""
+    made = []
+    for version in (1, 2):
+        block = f"{version} 0 other\n{warc.FIELDS[version]}\n".encode()
+        data = b"filedesc://x 1.2.3.4 19970301000000 text/plain " + (b"200 - - 0 x.arc " if version == 2 else b"") + b"%d\n" % len(block) + block
+        for i, (date, ip) in enumerate([("19961231235959", "10.0.0.1"), ("20040229120000", "192.168.7.9"), ("19961231235959", "::1")]):
+            body = warc.HTTP + b"page %d" % i
+            more = b" 200 abc - 77 x.arc" if version == 2 else b""
+            data += b"\nhttp://h/%d %s %s text/html%s %d\n" % (i, ip.encode(), date.encode(), more, len(body)) + body
+        got = list(warc.arc_records(data))
+        assert [(r.date, r.ip, r.version) for r in got] == [("19961231235959", "10.0.0.1", version), ("20040229120000", "192.168.7.9", version), ("19961231235959", "::1", version)]
+        made += [warc.warc_record(r, j) for j, r in enumerate(got)]
+    heads = [dict(line.split(": ", 1) for line in m.split(warc.END, 1)[0].decode().split("\r\n")[1:]) for m in made]
+    assert [h["WARC-Date"] for h in heads[:3]] == ["1996-12-31T23:59:59Z", "2004-02-29T12:00:00Z", "1996-12-31T23:59:59Z"]
+    assert [h["WARC-IP-Address"] for h in heads[:3]] == ["10.0.0.1", "192.168.7.9", "::1"]
+    assert len({h["WARC-Record-ID"] for h in heads[:3]}) == 3 and [h["WARC-Record-ID"] for h in heads[:3]] == [h["WARC-Record-ID"] for h in heads[3:]]
+    assert [h["WARC-Payload-Digest"] for h in heads[:3]] == ["sha256:" + hashlib.sha256(b"page %d" % i).hexdigest() for i in range(3)]
+
+
 @pytest.mark.parametrize("n", [1, 3, 100])
 def test_stream_cuts_by_content_length(n):
     records = [warc.warc_record(warc.ArcRecord(1, "u", "0.0.0.0", warc.DATE, "t", "", warc.HTTP + p), i) for i, p in enumerate([b"a\r\n\r\nWARC/1.1\r\n\r\n", b"", b"\r\n\r\n", b"x\r\n"])]
