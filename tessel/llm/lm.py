@@ -42,13 +42,13 @@ class Settings:
     """vocabulary: words with vectors of their own, single: of them classes by themselves, shared: classes of the others; head:
     words whose counts go to the workers, at most."""
 
-    vocabulary: int = 10_000
+    vocabulary: int = 4000
     single: int = 64
-    shared: int = 191
+    shared: int = 63
     context: int = 3
     dim: int = 16
     noise: int = 32
-    rivals: int = 5
+    rivals: int = 4
     batch: int = 8192
     rate: float = 0.08
     head: int = 200_000
