@@ -9,24 +9,23 @@ partition, plus the counts of the partitions before it) is looked up in the plan
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import os
-import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.program import Plan, Program, best_fit, sequences
 from tessel.llm.shared import arrow_map, written
 
-#: Words that a worker keeps the ids of (about 200 bytes each, as words and as parts: 160 MB).
+#: Words of a generation that a worker keeps the ids of (about 200 bytes each, two generations: 160 MB).
 KNOWN = 400_000
 
 
@@ -48,18 +47,22 @@ def planned(histogram: dict[int, int], size: int = 2048) -> Plan:
 
 _LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
 _DIGITS = "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == "N")
-#: How the tokenizer cuts text into words, for text that Latin-1 can hold. Such text is composed already, and its lower
-#: case is a matter of single characters. What lies between words is white space.
-_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\t-\r \x85\xa0{_LETTERS}{_DIGITS}]+")
+_SPACES = "\t-\r \x85\xa0"
+#: How the tokenizer cuts text into words, for text that Latin-1 can hold (in RE2's syntax). Such text is composed already,
+#: and its lower case is a matter of single characters. What lies between words is white space.
+_CUT = f"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+)"
+#: Text that Latin-1 cannot hold, or that may have special tokens, is left to the tokenizer.
+_ODD = r"[^\x{00}-\x{FF}]|<\|"
 
 
 class _Encoder:
     """Texts to token ids, as little-endian 32-bit numbers.
 
-    A text is cut at spaces and line ends, which the tokenizer's words never cross, and each part's ids are looked up. An
-    unseen part in Latin-1 is cut into words here; unseen words are encoded many at once and told apart by their last
-    token, which ends a word. Other unseen parts go to the tokenizer as they are. What has been seen is kept in two
-    generations: a full one becomes the old one, from which what is met again is taken back, so common words stay.
+    Arrow cuts a batch of texts at spaces and line ends, which the tokenizer's words never cross, and tells the parts apart;
+    distinct parts in Latin-1 are cut into words, and these are told apart again, so the ids of a word are looked up once a
+    batch. Unseen words are encoded many at once and told apart by their last token, which ends a word. Other parts go to
+    the tokenizer as they are. What has been seen is kept in two generations: a full one becomes the old one, from which
+    what is met again is taken back, so common words stay.
     """
 
     def __init__(self, path: str, most: int = KNOWN):
@@ -70,88 +73,104 @@ class _Encoder:
         self.plain = Tokenizer.from_file(path)  # for words that are cut and in lower case already: its merges alone
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}  # words, and odd parts, which no word is equal to
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
 
-    def _is_plain(self, text: str) -> bool:
-        """Whether its parts' words can be told here."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return "<|" not in text or not any(t in text for t in self.special)
-
-    def _plain(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> Iterator[bytes]:
         for i in range(0, len(words), 4000):
             part = words[i : i + 4000]
             got = self._ids(" ".join(part))
             stops = np.flatnonzero(self.ends[got]) + 1
             if len(stops) != len(part):  # not one ending token a word: take them one by one
-                self.words |= {w: self._ids(w).tobytes() for w in part}
+                yield from (self._ids(w).tobytes() for w in part)
                 continue
             data, at = got.tobytes(), 0
-            for w, stop in zip(part, (4 * stops).tolist()):
-                self.words[w] = data[at:stop]
+            for stop in (4 * stops).tolist():
+                yield data[at:stop]
                 at = stop
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, plain: set[str], odd: set[str]) -> None:
-        if len(self.words) > self.most // 2:
-            self.old_words, self.words = self.words, {}
-        single = [(p, p.lower()) for p in plain if p.isalpha()]
-        several = [(p, _CUT.findall(p.lower())) for p in plain if not p.isalpha()]
-        new = {w for _, w in single}.union(*(ws for _, ws in several)).difference(self.words)
-        self._take_back(self.words, self.old_words, new)
-        self._plain(list(new))
-        of, join = self.words.__getitem__, b"".join
-        self.parts.update([(p, of(w)) for p, w in single])
-        self.parts.update([(p, join(map(of, ws))) for p, ws in several])
-        odd_list = list(odd.difference(plain))
-        for p, e in zip(odd_list, self.tokenizer.encode_batch_fast(odd_list, add_special_tokens=False) if odd_list else ()):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-
-    @staticmethod
-    def _take_back(now: dict[str, bytes], old: dict[str, bytes], wanted: set[str]) -> None:
-        """Moves what is wanted and in the old generation to the present one; it is wanted no more."""
-        if old:
-            met = wanted & old.keys()
-            now.update((x, old[x]) for x in met)
-            wanted -= met
+    def _odd(self, parts: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _known(self, keys: list[str], learn: Callable[[list[str]], Iterator[bytes]]) -> _Ragged:
+        """The ids of distinct words or parts; `learn` makes those of unseen ones."""
+        if len(self.seen) > self.most:
+            self.old, self.seen = self.seen, {}
+        found = list(map(self.seen.get, keys))
+        holes = [i for i, x in enumerate(found) if x is None]
+        if holes and self.old:
+            for i, x in zip(holes, [self.old.get(keys[i]) for i in holes]):
+                if x is not None:
+                    found[i] = self.seen[keys[i]] = x
+            holes = [i for i in holes if found[i] is None]
+        if holes:
+            new = [keys[i] for i in holes]
+            ids = list(learn(new))
+            self.seen.update(zip(new, ids))
+            for i, x in zip(holes, ids):
+                found[i] = x
+        return _Ragged(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
+
+    def _parts(self, parts: pa.Array) -> _Ragged:
+        """The ids of distinct parts."""
+        odd = pc.match_substring_regex(parts, _ODD)
+        plain = pc.utf8_lower(parts.filter(pc.invert(odd)))
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(plain, f"[{_SPACES}]", " "), _CUT, r"\1 ")
+        lists = pc.split_pattern(cut, " ")
+        words = lists.flatten().dictionary_encode()
+        known = self._known(words.dictionary.to_pylist(), self._words_and_none)
+        out = known.gathered(words.indices.to_numpy(), pc.list_value_length(lists).to_numpy())
+        if pc.any(odd).as_py():
+            others = self._known(parts.filter(odd).to_pylist(), self._odd)
+            place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            out = _Ragged(np.concatenate([out.data, others.data]), np.concatenate([out.size, others.size])).gathered(place, np.ones(len(place), int))
+        return out
+
+    def _words_and_none(self, new: list[str]) -> list[bytes]:
+        ids = list(self._words([w for w in new if w]))
+        if "" in new:
+            ids.insert(new.index(""), b"")
+        return ids
+
+    def flat(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after the other, each text's followed by those of `end`, and where each text's stop."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        parts = lists.flatten().dictionary_encode()
+        ids, which, n = self._parts(parts.dictionary), parts.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+        if end:
+            which, n = np.insert(which, np.cumsum(n), len(ids.size)), n + 1
+            ids = _Ragged(np.append(ids.data, np.frombuffer(end, "<u4")), np.append(ids.size, len(end) // 4))
+        out = ids.gathered(which, n)
+        return out.data, np.cumsum(out.size)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.most // 2:
-            self.old_parts, self.parts = self.parts, {}
-        get = self.parts.get
-        found, plain, odd = [], set(), set()
-        for t in texts:
-            cut = t.replace("\n", " ").split(" ")
-            ids = list(map(get, cut))
-            holes, i = [], -1
-            with contextlib.suppress(ValueError):
-                while True:
-                    i = ids.index(None, i + 1)
-                    holes.append(i)
-            new = [cut[i] for i in holes]
-            if new:
-                (plain if self._is_plain(t) else odd).update(new)
-            found.append((ids, holes, new))
-        self._take_back(self.parts, self.old_parts, plain)
-        self._take_back(self.parts, self.old_parts, odd)
-        if plain or odd:
-            self._learn(plain, odd)
-        for ids, holes, parts in found:
-            for i, p in zip(holes, parts):
-                ids[i] = self.parts[p]
-        return [b"".join(ids) for ids, _, _ in found]
+        ids, stops = self.flat(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, stops[:-1])] if texts else []
+
+
+class _Ragged:
+    """Lists of ids: all ids one after the other, and each list's size."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray):
+        self.data, self.size = data, size
+
+    def gathered(self, which: np.ndarray, n: np.ndarray) -> _Ragged:
+        """The lists of the given numbers, put together to longer ones of `n` lists each."""
+        first, stop = np.cumsum(self.size) - self.size, np.cumsum(self.size[which])
+        out = np.empty(int(stop[-1]) if len(stop) else 0, "<u4")
+        for i in range(0, len(which), 50_000):  # in steps, for the temporary arrays
+            w, at = which[i : i + 50_000], int(stop[i - 1]) if i else 0
+            size, to = self.size[w], stop[i : i + 50_000] - at
+            out[at : at + to[-1]] = self.data[np.repeat(first[w] - to + size, size) + np.arange(to[-1])]
+        return _Ragged(out, np.diff(np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(n)])]))
 
 
 @functools.lru_cache(1)
@@ -170,21 +189,14 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, t
         ids, nth = _encoder(tokenizer, known), np.zeros(size + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
-            texts = [x or "" for x in batch.column(0).to_pylist()]
+            data, stops = ids.flat(batch.column(0), b"\0\0\0\0")
             first = 0
-            while first < len(texts):
-                last, size_so_far = first, 0
-                while last < len(texts) and (size_so_far < 1_000_000 or last == first):
-                    size_so_far += len(texts[last])
-                    last += 1
-                for r, data in enumerate(ids.encode(texts[first:last]), first):
-                    data += b"\0\0\0\0"
-                    n = len(data) // 4
-                    for piece, at in enumerate(range(0, n, size)):
-                        length = min(size, n - at)
-                        out.append((r, piece, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]), int(nth[length])))
-                        nth[length] += 1
-                first = last
+            for r, stop in enumerate(stops.tolist()):
+                for piece, at in enumerate(range(first, stop, size)):
+                    length = min(size, stop - at)
+                    out.append((r, piece, at - first, length, zlib.crc32(data[at : at + length]), int(nth[length])))
+                    nth[length] += 1
+                first = stop
             take = pa.array([x[0] for x in out], pa.int64())
             col = lambda i, kind: pa.array([x[i] for x in out], kind)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(1, batch.num_columns)], col(1, pa.int32()), col(2, pa.int64()), col(3, pa.int64()), col(4, pa.int64()), col(5, pa.int64())], [*keep, "piece", "start", "length", "ids_crc32", "nth"])

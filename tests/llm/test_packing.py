@@ -26,6 +26,34 @@ def test_encoder_is_the_tokenizer(texts):
     assert ENCODER.encode(texts) == [ids(t) for t in texts]
 
 
+def test_encoder_on_each_character_of_latin_1():
+    around = [f"{a}{c}{b}" for c in map(chr, range(256)) for a in ("", "A", "7", "'", ",", " ", "É") for b in ("", "s", "2", "'ll", "!", "\n", "ß")]
+    texts = [*around, " ".join(around), "", " ", "\n\n", "x" * 5000, "<|", "a<|b|>c", "\u20ac uro É", "e\u0301 \u0301e"]
+    encoder = packing._Encoder(PATH, 500)
+    for some in (texts, texts[::-1], texts[:50]):
+        assert encoder.encode(some) == [ids(t) for t in some]
+
+
+def test_only_odd_parts_go_to_the_whole_tokenizer():
+    """Words in Latin-1 are told here, also beside others; a word is encoded once, whatever its case and what stands by it."""
+
+    class Seen:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, []
+
+        def encode_batch_fast(self, texts, **kw):
+            self.texts += texts
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    encoder = packing._Encoder(PATH, 300)
+    encoder.tokenizer, encoder.plain = Seen(encoder.tokenizer), Seen(encoder.plain)
+    texts = ["Plain words here, then \u20ac5 and 'plain' WORDS. <|endoftext|>", "(words) plain; here! HERE?"]
+    assert encoder.encode(texts) == [ids(t) for t in texts]
+    assert sorted(encoder.tokenizer.texts) == ["<|endoftext|>", "\u20ac5"]
+    told = " ".join(encoder.plain.texts).split(" ")
+    assert len(told) == len(set(told)) and {"plain", "words", "here"} <= set(told)
+
+
 def test_encoder_on_special_tokens_and_contractions():
     texts = ["a<|endoftext|>b it's 'S ''ll don't", "<|startoftext|>", "ΟΔΟΣ naïve Café"]
     assert ENCODER.encode(texts) == [ids(t) for t in texts]
