@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import arrow_map, in_slices
+from tessel.llm.shared import arrow_map, in_slices, unused
 
 PAD = 256
 
@@ -168,5 +168,5 @@ def scored(docs: DataFrame, p: dict[str, np.ndarray], keep: list[str], text: str
                 out = 1 / (1 + np.exp(-logit.astype(float)))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, part.num_columns)], pa.array(out)], [*keep, name])
 
-    chosen = docs.select(F.col(text).cast("binary").alias("_body"), *keep)
+    chosen = docs.select(F.col(text).cast("binary").alias(unused("_body", keep)), *keep)
     return arrow_map(chosen, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + f", `{name}` double")

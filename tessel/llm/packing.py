@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.program import Plan, Program, best_fit, sequences
-from tessel.llm.shared import arrow_map, written
+from tessel.llm.shared import arrow_map, unused, written
 
 #: Words of a generation that a worker keeps the ids of (about 200 bytes each, two generations: 160 MB).
 KNOWN = 400_000
@@ -201,7 +201,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], size: int = 2048, t
             col = lambda i, kind: pa.array([x[i] for x in out], kind)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(1, batch.num_columns)], col(1, pa.int32()), col(2, pa.int64()), col(3, pa.int64()), col(4, pa.int64()), col(5, pa.int64())], [*keep, "piece", "start", "length", "ids_crc32", "nth"])
 
-    chosen = docs.select(F.col(text).alias("_body"), *keep)
+    chosen = docs.select(F.col(text).alias(unused("_body", keep)), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     return arrow_map(chosen, run, f"{kept}, piece int, start long, length long, ids_crc32 long, nth long").withColumn("part", F.spark_partition_id())
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import arrow_map
+from tessel.llm.shared import arrow_map, unused
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "validity", "gazetteer", "cue", "edges")
@@ -273,7 +273,7 @@ def found(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
             digest = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, batch.num_columns)], *counts, digest, pa.array([joined(every) for _, every in got], pa.string())], [*keep, *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
-    chosen = docs.select(F.col(text).alias("_body"), *keep)
+    chosen = docs.select(F.col(text).alias(unused("_body", keep)), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     return arrow_map(chosen, run, f"{kept}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 

@@ -171,3 +171,9 @@ def test_the_knapsack_is_exact(histogram):
     drawn = lp.drawn(table, price, lp.counts)
     assert sum(price[i] * k for i, k in drawn.items()) == pytest.approx(worth[-1])
     assert sum(int(lengths[i]) * k for i, k in drawn.items()) <= 30
+
+
+def test_a_kept_column_may_have_the_helpers_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 8), (2, None, 9, 10)], "doc_id long, text string, _body int, _BODY_ int")
+    got = packing.pieces(docs, PATH, ["doc_id", "_body", "_BODY_"]).orderBy("doc_id").collect()
+    assert [tuple(r)[:6] for r in got] == [(1, 7, 8, 0, 0, 3), (2, 9, 10, 0, 0, 1)]
